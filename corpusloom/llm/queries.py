@@ -3,10 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import licenses, mixing, packing, reply_trees, token_files
 from .common import shared_path, table
 
+#: The probe that op4 adds: texts made of the control strings themselves.
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in PROBE))).alias("m")).select("m.*")
+    nodes = reply_trees.chains(said.unionByName(probe), "conv_id", "turn", "role", "text")
+    paths = reply_trees.reply_paths(nodes, top_k=1)
+    return reply_trees.conversation_report(reply_trees.format_paths(nodes, paths))
+
+
+MIX = {"fraction": 0.5, "max_epochs": 3, "seed": 7}
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    levels = mixing.production_levels()
+    mixed = mixing.mix_sources(docs.withColumn("n_tokens", mixing.word_tokens(F.col("text"))), levels, mixing.WEIGHTS, tokens=F.col("n_tokens"), **MIX)
+    return mixed.select("doc_id", "epoch", levels["domain"].alias("domain"), "lang", "source", "n_tokens")
+
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.corpus_to_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "token-files"))
@@ -17,7 +43,14 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op4_reply_trees": op4_reply_trees,
+    "op5_mix_sources": op5_mix_sources,
     "op7_token_files": op7_token_files,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.report_sql(),
+    "op4_reply_trees": reply_trees.REPORT_SQL,
+    "op5_mix_sources": mixing.mixture_sql(**MIX),
+}
