@@ -68,7 +68,7 @@ class AtomicFile:
         self.fs, self.path = open_fs(uri)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.stream = self.fs.open_output_stream(self.temporary)
+        self.stream = self.fs.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, reply_trees, token_files
+from . import arc_warc, licenses, mixing, packing, reply_trees, token_files
 from .common import shared_path, table
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = arc_warc.archive_pages(table(spark, sf_dir, "pages"), shared_path(spark, "archives"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: The probe that op4 adds: texts made of the control strings themselves.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -44,6 +49,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_reply_trees": op4_reply_trees,
     "op5_mix_sources": op5_mix_sources,
     "op7_token_files": op7_token_files,
@@ -51,6 +57,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.report_sql(),
+    "op3_arc_to_warc": arc_warc.REPORT_SQL,
     "op4_reply_trees": reply_trees.REPORT_SQL,
     "op5_mix_sources": mixing.mixture_sql(**MIX),
 }

@@ -107,7 +107,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 system, path = open_fs(name)
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for keys, sizes, ids in decode_segments(stream):
                         stop = np.cumsum(sizes)
                         data = memoryview(ids.astype("<u4")).cast("B")
