@@ -98,9 +98,9 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ordered_parts(df: DataFrame, key: str, text: str, partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, int]:
-    """Add ``_part``, ascending with ``key``, and lay the rows out by it, sorted by key and text.
+    """Add ``_part``, ascending with ``key``; also the number of parts.
 
-    The bounds are approximate quantiles of the key, one a ``partition_bytes`` of text, so they
+    ``repartitionById(n, "_part")`` then lays the rows out in the order of the key. The bounds are approximate quantiles of the key, one a ``partition_bytes`` of text, so they
     grow with the input; the driver holds these bounds only. Null keys come first.
     """
     total, rows = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
@@ -116,7 +116,7 @@ def ordered_parts(df: DataFrame, key: str, text: str, partition_bytes: int = PAR
         part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if len(bounds) <= 64 else _search(bounds, key)
     part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(part).cast("int")
     n = len(bounds) + 1
-    return df.withColumn("_part", part).repartitionById(n, F.col("_part")).sortWithinPartitions(key, text), n
+    return df.withColumn("_part", part), n
 
 
 def _search(bounds: list[int], key: str) -> Column:

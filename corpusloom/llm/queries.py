@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, licenses, mixing, packing, reply_trees, token_files
+from . import arc_warc, bloom_lookup, licenses, mixing, packing, reply_trees, token_files
 from .common import shared_path, table
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "epoch", levels["domain"].alias("domain"), "lang", "source", "n_tokens")
 
 
+def op6_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lookup.fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.corpus_to_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "token-files"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_reply_trees": op4_reply_trees,
     "op5_mix_sources": op5_mix_sources,
+    "op6_bloom_lookup": op6_bloom_lookup,
     "op7_token_files": op7_token_files,
     "op10_harmonic_packing": op10_harmonic_packing,
 }

@@ -90,7 +90,8 @@ def write_token_files(
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    laid, _ = ordered_parts(rows, "doc_id", "text", partition_bytes)
+    parted, n = ordered_parts(rows, "doc_id", "text", partition_bytes)
+    laid = parted.repartitionById(n, F.col("_part")).sortWithinPartitions("_part", "doc_id", "text")
     return laid.select("doc_id", "text", "_part").mapInArrow(run, "part long, file string, n_docs long, n_tokens long, n_bytes long")
 
 

@@ -43,6 +43,27 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SPAN = 1 << 21
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, by running sums of random byte values times powers; never 0."""
+    n = len(raw)
+    if n + 1 > len(_POWERS[0]):
+        for i, base in enumerate((_ODD, _INVERSE)):
+            x = np.full(n + 1, base, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.multiply.accumulate(x)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _POWERS[0][:n], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * _POWERS[1][starts]
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= _MIX
+    hashes ^= hashes >> np.uint64(32)
+    hashes |= np.uint64(1)
+    return hashes
+
+
 class UnitEncoder:
     """Encoder with a bounded store of units; ``max_units`` bounds its memory, not what it encodes."""
 
@@ -53,7 +74,6 @@ class UnitEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for s, i in vocabulary.items() if s.startswith("Ġ")]] = True
         self.max_units = max_units
-        self.power = self.inverse = np.ones(1, np.uint64)
         self._clear(1 << 16)
 
     def _clear(self, slots: int) -> None:
@@ -102,20 +122,8 @@ class UnitEncoder:
         return cut
 
     def _units(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(raw)
-        if n + 1 > len(self.power):
-            for name, base in (("power", _ODD), ("inverse", _INVERSE)):
-                x = np.full(n + 1, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        ends = np.append(starts[1:], n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * self.power[:n], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
-        hashes ^= hashes >> np.uint64(29)
-        hashes *= _MIX
-        hashes ^= hashes >> np.uint64(32)
-        hashes |= np.uint64(1)
+        ends = np.append(starts[1:], len(raw))
+        hashes = hash_spans(raw, starts, ends)
         if self.count > self.max_units:
             self._clear(1 << 16)
         places = self._find(hashes)
