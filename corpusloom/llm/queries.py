@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bloom_lookup, licenses, mixing, packing, reply_trees, token_files
+from . import arc_warc, bloom_lookup, licenses, mixing, packing, quality, reply_trees, token_files
 from .common import shared_path, table
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.corpus_to_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "token-files"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_bloom_lookup": op6_bloom_lookup,
     "op7_token_files": op7_token_files,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 ORACLES: dict[str, str] = {

@@ -64,6 +64,62 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return hashes
 
 
+class HashIndex:
+    """Open-addressing table from 64-bit hashes (never 0) to their places in order of arrival."""
+
+    def __init__(self):
+        self.count = 0
+        self.hashes = np.zeros(1 << 10, np.uint64)
+        self._sized(1 << 12)
+
+    def _sized(self, slots: int) -> None:
+        self.keys = np.zeros(slots, np.uint64)
+        self.places = np.zeros(slots, np.int32)
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is unknown."""
+        mask = len(self.keys) - 1
+        slot = ((hashes * _ODD) >> self.shift).astype(np.int64)
+        key = self.keys[slot]
+        places = np.where(key == hashes, self.places[slot], -1)
+        left = np.flatnonzero((key != hashes) & (key != 0))
+        while len(left):
+            at = slot[left] = (slot[left] + 1) & mask
+            key, wanted = self.keys[at], hashes[left]
+            hit = key == wanted
+            places[left[hit]] = self.places[at[hit]]
+            left = left[~hit & (key != 0)]
+        return places
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Append distinct hashes that aren't in the table."""
+        n, stop = self.count, self.count + len(hashes)
+        self.hashes = grown(self.hashes, stop)
+        self.hashes[n:stop] = hashes
+        self.count = stop
+        if stop * 2 > len(self.keys):
+            self._sized(1 << (stop * 4).bit_length())
+            n = 0
+        hashes, places = self.hashes[n:stop], np.arange(n, stop, dtype=np.int32)
+        mask = len(self.keys) - 1
+        slot = ((hashes * _ODD) >> self.shift).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[left[free]]
+            won = self.keys[at] == hashes[left]  # of several for one slot the last has it
+            self.places[at[won]] = places[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & mask
+
+
+def grown(array: np.ndarray, need: int) -> np.ndarray:
+    """The array, or a longer copy of at least ``need`` items."""
+    return array if need <= len(array) else np.concatenate((array, np.zeros((max(need - len(array), len(array)), *array.shape[1:]), array.dtype)))
+
+
 class UnitEncoder:
     """Encoder with a bounded store of units; ``max_units`` bounds its memory, not what it encodes."""
 
@@ -74,14 +130,11 @@ class UnitEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for s, i in vocabulary.items() if s.startswith("Ġ")]] = True
         self.max_units = max_units
-        self._clear(1 << 16)
+        self._clear()
 
-    def _clear(self, slots: int) -> None:
-        self.keys = np.zeros(slots, np.uint64)
-        self.places = np.zeros(slots, np.int32)
-        self.shift = np.uint64(64 - slots.bit_length() + 1)
-        self.count = self.used = 0
-        self.hashes = np.zeros(1024, np.uint64)
+    def _clear(self) -> None:
+        self.index = HashIndex()
+        self.used = 0
         self.offsets = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.int32)
@@ -124,36 +177,22 @@ class UnitEncoder:
     def _units(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(raw))
         hashes = hash_spans(raw, starts, ends)
-        if self.count > self.max_units:
-            self._clear(1 << 16)
-        places = self._find(hashes)
+        if self.index.count > self.max_units:
+            self._clear()
+        places = self.index.find(hashes)
         missing = np.flatnonzero(places < 0)
         if len(missing):
             fresh, first = np.unique(hashes[missing], return_index=True)
             at = missing[first]
             data = raw.tobytes()
             self._learn(fresh, [data[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            places[missing] = self._find(hashes[missing])
+            places[missing] = self.index.find(hashes[missing])
         size = self.lengths[places].astype(np.int64)
         stop = np.cumsum(size)
         index = np.repeat(self.offsets[places] - (stop - size), size)
         index += np.arange(len(index))
         return self.ids[index], size
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        mask = len(self.keys) - 1
-        slot = ((hashes * _ODD) >> self.shift).astype(np.int64)
-        key = self.keys[slot]
-        places = np.where(key == hashes, self.places[slot], -1)
-        left = np.flatnonzero((key != hashes) & (key != 0))
-        while len(left):
-            at = slot[left] = (slot[left] + 1) & mask
-            key, wanted = self.keys[at], hashes[left]
-            hit = key == wanted
-            places[left[hit]] = self.places[at[hit]]
-            left = left[~hit & (key != 0)]
-        return places
-
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
         plain = [i for i, u in enumerate(units) if u[0] == " " and u[1:].isalpha()]
         chosen = set(plain)
@@ -170,35 +209,14 @@ class UnitEncoder:
         rest = [i for i in range(len(units)) if i not in chosen]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
             found[i] = np.array(x.ids, np.int32)
-        n, size = self.count, np.array([len(x) for x in found], np.int32)
-        stop = self.used + int(size.sum())
-        for name, need in (("hashes", n + len(units)), ("offsets", n + len(units)), ("lengths", n + len(units)), ("ids", stop)):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate((old, np.zeros(max(need, len(old)), old.dtype))))
-        self.hashes[n : n + len(units)] = hashes
-        self.lengths[n : n + len(units)] = size
-        self.offsets[n : n + len(units)] = self.used + np.cumsum(size) - size
+        n, size = self.index.count, np.array([len(x) for x in found], np.int32)
+        end, stop = n + len(units), self.used + int(size.sum())
+        self.offsets, self.lengths, self.ids = grown(self.offsets, end), grown(self.lengths, end), grown(self.ids, stop)
+        self.lengths[n:end] = size
+        self.offsets[n:end] = self.used + np.cumsum(size) - size
         self.ids[self.used : stop] = np.concatenate(found)
-        self.count, self.used = n + len(units), stop
-        if self.count * 2 > len(self.keys):
-            slots = 1 << (self.count * 4).bit_length()
-            self.keys, self.places = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
-            self.shift = np.uint64(64 - slots.bit_length() + 1)
-            n = 0
-        self._place(self.hashes[n : self.count], np.arange(n, self.count, dtype=np.int32))
-
-    def _place(self, hashes: np.ndarray, places: np.ndarray) -> None:
-        mask = len(self.keys) - 1
-        slot = ((hashes * _ODD) >> self.shift).astype(np.int64)
-        left = np.arange(len(hashes))
-        while len(left):
-            at = slot[left]
-            free = self.keys[at] == 0
-            self.keys[at[free]] = hashes[left[free]]
-            won = self.keys[at] == hashes[left]  # of several for one slot the last has it
-            self.places[at[won]] = places[left[won]]
-            left = left[~won]
-            slot[left] = (slot[left] + 1) & mask
+        self.used = stop
+        self.index.add(hashes)
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}
