@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bloom_lookup, licenses, mixing, packing, quality, reply_trees, token_files
+from . import arc_warc, bag_minhash, bloom_lookup, licenses, mixing, packing, quality, reply_trees, token_files, vp_tree
 from .common import shared_path, table
 
+def op2_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vp_tree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=1.0)
+
+
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = arc_warc.archive_pages(table(spark, sf_dir, "pages"), shared_path(spark, "archives"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,6 +52,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.corpus_to_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "token-files"))
 
 
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -60,16 +69,19 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_vp_tree": op2_vp_tree,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_reply_trees": op4_reply_trees,
     "op5_mix_sources": op5_mix_sources,
     "op6_bloom_lookup": op6_bloom_lookup,
     "op7_token_files": op7_token_files,
+    "op8_bag_minhash": op8_bag_minhash,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.report_sql(),
+    "op2_vp_tree": vp_tree.NEAREST_SQL,
     "op3_arc_to_warc": arc_warc.REPORT_SQL,
     "op4_reply_trees": reply_trees.REPORT_SQL,
     "op5_mix_sources": mixing.mixture_sql(**MIX),
