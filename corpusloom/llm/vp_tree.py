@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, has.sum(axis=1))), pa.array(name[has]), pa.array(score[has])], schema=fields)
 
     # a stated query set against all rows: each block goes to every shard, behind the shard itself
-    sent = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).cast("long").alias("shard"), "block", "ids", "vectors")
+    sent = packed.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("shard"), "block", "ids", "vectors")
     met = shards.select("dim", "shard", F.lit(-1).cast("long").alias("block"), "ids", "vectors").unionByName(sent)
     found = met.repartition(many, "dim", "shard").sortWithinPartitions("dim", "shard", "block").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
