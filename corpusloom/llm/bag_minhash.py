@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialize, string_buffers
-from .components import components
 from .licenses import _BLANK
 from .packing import _runs
 from .quality import _words
@@ -59,9 +59,9 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[
     words = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.cumsum(words) - words
     left = words[doc] - (np.arange(n) - first[doc])  # words from here to the end of the document
-    mixed = np.zeros(n, np.uint64)
+    mixed, after = np.zeros(n, np.uint64), np.concatenate((h, np.zeros(width, np.uint64)))
     for k in range(width):
-        mixed[: n - k] = mixed[: n - k] * _STEP + np.where(left[: n - k] > k, h[k:], _U(0))
+        mixed = mixed * _STEP + np.where(left > k, after[k : n + k], _U(0))
     at = np.flatnonzero((left >= width) | ((words[doc] < width) & (left == words[doc])))
     key = _mix(np.where(left[at] < width, mixed[at] + _SHORT, mixed[at])) >> _U(64 - _KEY_BITS)
     key |= doc[at].astype(np.uint64) << _U(_KEY_BITS)

@@ -1,54 +1,22 @@
-"""Helpers shared by the training-data operators: shared storage, ordered layout, text columns."""
+"""Helpers shared by the training-data operators: files, ordered layout, text columns."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_path, table  # noqa: F401 - for the operators beside this module
+
 #: Bytes of text that one ordered partition should hold.
 PARTITION_BYTES = 32 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset, as in tests on one machine, is a temporary folder made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table or archive set."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, so that its lineage is cut."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI or of a plain local path."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -128,8 +96,3 @@ def _search(bounds: list[int], key: str) -> Column:
         inner = F.size(F.filter(F.array(*map(F.lit, group)), lambda b: b < F.col(key))) + k * step
         tree = inner if k == 0 else F.when(F.col(key) > groups[k - 1][-1], inner).otherwise(tree)
     return tree
-
-
-def arrow_batches(rows: Iterator[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for columns in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

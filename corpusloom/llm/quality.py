@@ -97,8 +97,10 @@ class Model:
     bias: np.ndarray
 
 
-def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epochs: int = 6, rate: float = 10.0, batch: int = 8, seed: int = 11) -> Model:
-    """Fit on whole texts. Without rows the model is indifferent; with one class it is sure."""
+def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epochs: int = 6, rate: float = 10.0, batch: int = 8, seed: int = 11, least_updates: int = 8000) -> Model:
+    """Fit on whole texts, in more epochs (60 at most) where rows are fewer than fill ``least_updates``.
+
+    Without rows the model is indifferent; with one class it is sure."""
     classes = tuple(sorted(set(labels))) or (0, 1)
     k, rng = len(classes), np.random.default_rng(seed)
     if k == 1:
@@ -116,6 +118,7 @@ def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epo
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (1 << BITS, dimensions)).astype(np.float32)
     out = np.zeros((dimensions, k), np.float32)
     bias = np.log(np.maximum(np.bincount(y, minlength=k), 1) / max(1, len(y))).astype(np.float32)
+    epochs = max(epochs, min(60, -(-least_updates // max(1, len(rows)))))
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))

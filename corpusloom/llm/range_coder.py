@@ -129,7 +129,7 @@ def _run(n: int, block: int, order0: tuple[np.ndarray, np.ndarray], ids: np.ndar
             bound = low[go]
             left = np.where(short[go], (_U(0) - bound) & _LOW32, np.minimum(span[go], _LOW32))
             if decoding:
-                code[go] = (code[go] << _32) | words[at[go]]
+                code[go] = (code[go] << _32) | words[np.minimum(at[go], len(words) - 1)]  # a damaged stream may ask for more
             else:
                 coded[go, at[go]] = (bound >> _32).astype(np.uint32)
             at[go] += 1
