@@ -86,15 +86,27 @@ def number_words(c: Column) -> Column:
     return F.size(T.words(c, strip_chars=_ASCII_SPECIAL)).cast("long")
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(len(a), len(b))
+    key = (a[:n] ^ (a[:n] >> np.uint64(29))) * _MIX + b[:n]
+    return key ^ (key >> np.uint64(32))
+
+
 def _character_repetition(text: str, n: int) -> float:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) < n:
         return 0.0
-    windows = np.lib.stride_tricks.sliding_window_view(codes, n)
-    key = np.zeros(len(windows), np.uint64)
-    for column in windows.T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
+    # hashes of windows of 1, 2, 4, .. characters are joined to those of n
+    part, width, key, have = codes.astype(np.uint64) * _MIX, 1, None, 0
+    while width <= n:
+        if n & width:
+            key = part if key is None else _join(key, part[have:])
+            have += width
+        part, width = _join(part, part[width:]), width * 2
+    key = key[: len(codes) - n + 1]
     count = np.sort(np.unique(key, return_counts=True)[1])[::-1]
     top = min(int(np.sqrt(len(count))), len(count) - int((count > 1).sum()))
     return float(count[:top].sum() / count.sum())
