@@ -40,10 +40,11 @@ def mark(role: Column) -> Column:
 def chains(messages: DataFrame, tree: str, order: str, role: str, text: str) -> DataFrame:
     """Turns in order as a tree without branches: each message's parent is the one before it.
 
-    Rows of an equal ``order`` are told apart by role, then text; a null role or text is empty.
+    Rows of an equal ``order`` are told apart by role, then text; a null role or text is empty, and rows
+    without a tree are one tree, whose id is the least long.
     """
     rows = messages.select(
-        F.col(tree).cast("long").alias("tree"),
+        F.coalesce(F.col(tree).cast("long"), F.lit(-(1 << 63))).alias("tree"),
         F.col(order).alias("_order"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
