@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import string_buffers
 from .packing import _runs
-from .units import HashIndex, grown, hash_spans
+from .units import HashIndex, grown, hash_spans, worker_store
 
 BITS = 18
 _TWICE = 1  # the bucket of any pair of equal words
@@ -103,17 +103,19 @@ def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epo
     Without rows the model is indifferent; with one class it is sure."""
     classes = tuple(sorted(set(labels))) or (0, 1)
     k, rng = len(classes), np.random.default_rng(seed)
-    if k == 1:
-        return Model(classes, np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    if k == 1 or not len(texts):
+        return Model(classes, np.zeros((1 << BITS, k), np.float32), np.zeros(k))
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(texts), 200):
         data = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 200]]
-        offsets = np.cumsum([0, *map(len, data)])
-        doc, bucket = features(np.frombuffer(b"".join(data), np.uint8), offsets)
-        edge = np.searchsorted(doc, np.arange(len(data) + 1))
-        for i in range(len(data)):
-            b, c = np.unique(bucket[edge[i] : edge[i + 1]], return_counts=True)
-            rows.append((b.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
+        doc, bucket = features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        # one entry for each document and bucket, with its share of the document
+        key, count = np.unique((doc << BITS) | bucket, return_counts=True)
+        doc, total = key >> BITS, np.bincount(doc, minlength=len(data))
+        parts.append(((key & ((1 << BITS) - 1)).astype(np.int32), (count / total[doc]).astype(np.float32), np.bincount(doc, minlength=len(data))))
+    buckets, shares, sizes = map(np.concatenate, zip(*parts))
+    stop = np.cumsum(sizes)
+    rows = [(buckets[e - n : e], shares[e - n : e]) for n, e in zip(sizes.tolist(), stop.tolist())]
     y = np.searchsorted(classes, labels)
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (1 << BITS, dimensions)).astype(np.float32)
     out = np.zeros((dimensions, k), np.float32)
@@ -142,7 +144,7 @@ def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epo
 class Scorer:
     """Logits of documents; sums of the words it has met are kept, up to ``max_words``."""
 
-    def __init__(self, model: Model, max_words: int = 1_000_000):
+    def __init__(self, model: Model, max_words: int = 300_000):
         self.model, self.max_words = model, max_words
         self._clear()
 
@@ -181,9 +183,6 @@ class Scorer:
         return np.column_stack(logit) + self.model.bias
 
 
-_SCORERS: dict[int, tuple[object, Scorer]] = {}
-
-
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", positive: int = 1, keep: bool = False) -> DataFrame:
     """Probability of the class ``positive`` as ``score``, beside the id, or all columns with ``keep``.
 
@@ -195,9 +194,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def scores(column: pa.Array) -> np.ndarray:
         m = shared.value
-        if _SCORERS.get(0, (None,))[0] is not m:  # one model at a time is kept
-            _SCORERS[0] = (m, Scorer(m))
-        scorer = _SCORERS[0][1]
+        scorer = worker_store(("scorer", id(m)), lambda: Scorer(m))
         raw, offsets = string_buffers(column)
         out = []
         for a, b in _runs(offsets, 2 << 20):

@@ -219,15 +219,21 @@ class UnitEncoder:
         self.index.add(hashes)
 
 
-_ENCODERS: dict[tuple, UnitEncoder] = {}
+_STORE: dict[tuple, object] = {}
+
+
+def worker_store(key: tuple, make):
+    """What a worker keeps between tasks: one thing at a time, so that its memory is that of one."""
+    if key not in _STORE:
+        _STORE.clear()
+        _STORE[key] = make()
+    return _STORE[key]
 
 
 def encoder(path: str, max_units: int = 1_000_000) -> UnitEncoder:
-    """The worker's own encoder; it and its store last as long as the worker."""
+    """The worker's own encoder; it stays until another operator's store takes its place."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    if (path, max_units) not in _ENCODERS:
-        _ENCODERS[path, max_units] = UnitEncoder(path, max_units)
-    return _ENCODERS[path, max_units]
+    return worker_store(("encoder", path, max_units), lambda: UnitEncoder(path, max_units))
 
 
 def default_tokenizer() -> str:
