@@ -15,6 +15,8 @@ from ..storage import materialize, shared_path, table  # noqa: F401 - for the op
 
 #: Bytes of text that one ordered partition should hold.
 PARTITION_BYTES = 32 << 20
+#: Most ordered partitions, as the plan names their bounds; beyond it they grow, and are streamed and sorted on disk.
+MOST_PARTITIONS = 8192
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -72,7 +74,7 @@ def ordered_parts(df: DataFrame, key: str, text: str, partition_bytes: int = PAR
     grow with the input; the driver holds these bounds only. Null keys come first.
     """
     total, rows = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
-    n = int(max(1, min(rows, -(-(total or 0) // partition_bytes))))
+    n = int(max(1, min(rows, MOST_PARTITIONS, -(-(total or 0) // partition_bytes))))
     bounds: list[int] = []
     if n > 1:
         at = [i / n for i in range(1, n)]
