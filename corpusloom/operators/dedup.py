@@ -179,6 +179,20 @@ def document_pairs(pairs: DataFrame, hashes: DataFrame, id_col: str = "doc_id",
     return out.distinct()
 
 
+def representative_pairs(pairs: DataFrame, hashes: DataFrame, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
+    """All document pairs of matching or equal hashes without writing each out: id_a < id_b, distance.
+
+    The smallest id of a hash stands for its documents. A row of distance 0 gives a member of id_a's
+    hash; any other row stands for all pairs of a document of id_a's hash and one of id_b's. So there is
+    a row a document or a pair of hashes at most, however many documents share one.
+    """
+    first = hashes.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("x"))
+    near = pairs.join(first.select(F.col("h").alias("a"), "x"), "a").join(first.select(F.col("h").alias("b"), F.col("x").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance")
+    same = hashes.select(F.col(hash_col).alias("h"), F.col(id_col).alias("y")).join(first, "h").where("x < y")
+    return near.unionByName(same.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), F.lit(0).alias("distance")))
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 50) -> DataFrame:
     """Ranges of characters whose windows of ``width`` occur at least twice in the corpus: id, begin, end.
 

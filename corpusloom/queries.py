@@ -394,6 +394,12 @@ def _(s, d):
     return dedup.document_pairs(dedup.hamming_pairs(h, 1, 16), h, "event_id")
 
 
+@query("d17_simhash_pairs")
+def _(s, d):
+    h = materialize(docs(s, d).select("doc_id", dedup.simhash(F.col("text")).alias("h")), "simhash")
+    return dedup.representative_pairs(dedup.hamming_pairs(h), h)
+
+
 @query(
     "d19_components",
     """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 5 < 3), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM both_),

@@ -95,6 +95,30 @@ def test_simhash_and_clusters(spark):
     assert got[1] == got[2] is not None and got[3] is None and got[4] is None
 
 
+def test_simhash_pairs_of_all_documents(spark, tmp_path):
+    from corpusloom.queries import QUERIES
+
+    base = [f"w{i}" for i in range(120)]
+    edit = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+    texts = [edit(), edit(), edit(), edit(119), edit(0), edit(1), edit(60), edit(30, 90), "short", "also short", " ".join(f"z{i}" for i in range(90))]
+    rows = [(1000 - 7 * i, t) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: t.split() for i, t in rows}
+    h = {i: dedup._simhash([" ".join(w[k : k + 6]) for k in range(max(0, len(w) - 6))]) for i, w in words.items()}
+    apart = lambda a, b: bin((h[a] ^ h[b]) & (2**64 - 1)).count("1")
+    wanted = {(a, b): apart(a, b) for a in h for b in h if a < b and apart(a, b) <= 4}
+    got = [tuple(r) for r in QUERIES["d17_simhash_pairs"](spark, str(tmp_path)).select("id_a", "id_b", "distance").collect()]
+    member = {i: i for i in h} | {b: a for a, b, n in got if n == 0}
+    near = {(a, b): n for a, b, n in got if n}
+    expand = {}
+    for a in h:
+        for b in h:
+            x, y = sorted((member[a], member[b]))
+            if a < b and (x == y or (x, y) in near):
+                expand[a, b] = near.get((x, y), 0)
+    assert expand == wanted and {0} < set(wanted.values()) and len(got) == len(set(got)) < len(wanted)
+
+
 def test_repeated_windows(spark):
     shared = "0123456789" * 6
     docs = spark.createDataFrame([(1, "ab" + shared), (2, shared + "xyz"), (3, "nothing")], "doc_id long, text string")
