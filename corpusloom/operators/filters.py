@@ -12,19 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .wordlists import STOPWORDS
 
 #: Characters that count as special: punctuation, symbols, separators, formats, ASCII digits, white space.
 SPECIAL = r"[\p{P}\p{S}\p{Z}\p{Cf}0-9\t\n\r\f\x0B]"
 _ASCII_SPECIAL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 
-#: Short lists of our own; a user passes others.
-STOPWORDS = {
-    "en": "the of and to in is that for it was on are as with be by this have or an",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
-    "fr": "de la le et les des en un du une que est pour qui dans par sur pas au plus",
-    "es": "de la que el en y a los del se las por un para con no una su al lo",
-}
-
 
 @dataclass(frozen=True)
 class Cutoffs:
@@ -145,13 +138,16 @@ def special_ratio(c: Column) -> Column:
 
 def listed_ratio(c: Column, lang: Column, lists: Mapping[str, str | Sequence[str]]) -> Column:
     """Share of a document's words that its language's list holds, 1 at most; null without a list."""
-    w = T.words(c, lower=True, strip_chars=_ASCII_SPECIAL)
-    out = F.lit(None).cast("double")
-    for language, items in lists.items():
-        known = items.split() if isinstance(items, str) else items
-        share = T.let(w, lambda x: F.when(F.size(x) > 0, F.least(F.size(T.among(x, known)) / F.size(x), F.lit(1.0))).otherwise(F.lit(0.0)))  # noqa: B023
-        out = F.when(lang == language, share).otherwise(out)
-    return out
+    known = {language: set(items.split() if isinstance(items, str) else items) for language, items in lists.items()}
+
+    def share(w: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for language, items in known.items():
+            hits = F.size(F.filter(w, lambda x: x.isin(sorted(items))))  # noqa: B023
+            out = F.when(lang == language, F.when(F.size(w) > 0, F.least(hits / F.size(w), F.lit(1.0))).otherwise(F.lit(0.0))).otherwise(out)
+        return out
+
+    return T.let(T.words(c, lower=True, strip_chars=_ASCII_SPECIAL), share) if known else F.lit(None).cast("double")
 
 
 def metrics(docs: DataFrame, text: str = "text", lang: str = "lang", stopwords: Mapping = STOPWORDS, flagged: Mapping | None = None) -> DataFrame:

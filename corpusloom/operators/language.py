@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .filters import STOPWORDS
 
+#: Short lists of our own, of equal length; a user passes others.
+LANGUAGE_WORDS = {
+    "en": "the of and to in is that for it was on are as with be by this have or an",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
+    "fr": "de la le et les des en un du une que est pour qui dans par sur pas au plus",
+    "es": "de la que el en y a los del se las por un para con no una su al lo",
+}
 
-def language_scores(c: Column, lists: Mapping[str, str] = STOPWORDS) -> Column:
+
+def language_scores(c: Column, lists: Mapping[str, str] = LANGUAGE_WORDS) -> Column:
     """array<struct<score, lang>>, best first: each language's share of the words that any list has.
 
     Scores are rounded to two digits; equal ones are in the order of the name.
@@ -23,7 +30,7 @@ def language_scores(c: Column, lists: Mapping[str, str] = STOPWORDS) -> Column:
     return F.array_sort(scored, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["lang"] < b["lang"], -1).otherwise(1))
 
 
-def identify(docs: DataFrame, text: str = "text", top: int = 1, least: float = 0.0, lists: Mapping[str, str] = STOPWORDS) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", top: int = 1, least: float = 0.0, lists: Mapping[str, str] = LANGUAGE_WORDS) -> DataFrame:
     """With ``top`` 1 the best language and its score, else a map of the best; rows below ``least`` go."""
     best = language_scores(F.col(text), lists)
     if top == 1:
@@ -34,7 +41,7 @@ def identify(docs: DataFrame, text: str = "text", top: int = 1, least: float = 0
     return out.withColumn("pred_langs", F.map_from_arrays(F.transform("_l", lambda x: x["lang"]), F.transform("_l", lambda x: x["score"]))).drop("_l")
 
 
-def identify_by_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lists: Mapping[str, str] = STOPWORDS) -> DataFrame:
+def identify_by_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lists: Mapping[str, str] = LANGUAGE_WORDS) -> DataFrame:
     """Language of a document from its lines, each counting by score times length."""
     each = docs.select(F.col(id_col), F.explode(F.split(text, "\n")).alias("line")).where("line <> ''")
     scored = each.select(id_col, F.length("line").alias("n"), language_scores(F.col("line"), lists)[0].alias("l")).select(id_col, "n", "l.*")

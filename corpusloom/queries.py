@@ -559,7 +559,7 @@ _LID_WORDS = r"list_filter(regexp_split_to_array(lower(replace(X, chr(10), ' '))
 
 def _lid(column: str) -> str:
     w = _LID_WORDS.replace("X", column)
-    hits = {k: f"len(list_filter({w}, lambda w: list_contains([{', '.join(q(x) for x in v.split())}], w)))" for k, v in filters.STOPWORDS.items()}
+    hits = {k: f"len(list_filter({w}, lambda w: list_contains([{', '.join(q(x) for x in v.split())}], w)))" for k, v in language.LANGUAGE_WORDS.items()}
     total = "(" + " + ".join(hits.values()) + ")"
     return "list_sort([" + ", ".join(f"{{'s': -CASE WHEN {total} > 0 THEN round({n} / {total}::DOUBLE, 2) ELSE 0 END, 'l': '{k}'}}" for k, n in hits.items()) + "])"
 

@@ -167,6 +167,14 @@ def test_filters_verdict(spark):
     assert got[1] == "word_repetition" and got[2] == "words_few" and got[3] == "words_few"
 
 
+def test_stop_words_of_the_cutoffs(spark):
+    assert {k: len(filters.STOPWORDS[k].split()) for k in ("en", "fr")} == {"en": 301, "fr": 365}
+    text = "because they never found another way home, the old farmer and several neighbours stayed overnight"
+    ratio = one(spark, lambda x: filters.listed_ratio(x, F.lit("en"), filters.STOPWORDS), text)[0][0]
+    assert ratio >= filters.CUTOFFS["en"].stop_least
+    assert one(spark, lambda x: filters.listed_ratio(x, F.lit("en"), filters.STOPWORDS), "alpha beta gamma")[0][0] == 0
+
+
 def test_language_and_sampling(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "la casa de los y el", "es")], "doc_id long, text string, lang string")
     assert [r.pred_lang for r in language.identify(docs).orderBy("doc_id").collect()] == ["en", "es"]
