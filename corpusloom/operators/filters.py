@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .wordlists import STOPWORDS
+from .wordlists import FLAGGED, STOPWORDS
 
 #: Characters that count as special: punctuation, symbols, separators, formats, ASCII digits, white space.
 SPECIAL = r"[\p{P}\p{S}\p{Z}\p{Cf}0-9\t\n\r\f\x0B]"
@@ -150,7 +150,7 @@ def listed_ratio(c: Column, lang: Column, lists: Mapping[str, str | Sequence[str
     return T.let(T.words(c, lower=True, strip_chars=_ASCII_SPECIAL), share) if known else F.lit(None).cast("double")
 
 
-def metrics(docs: DataFrame, text: str = "text", lang: str = "lang", stopwords: Mapping = STOPWORDS, flagged: Mapping | None = None) -> DataFrame:
+def metrics(docs: DataFrame, text: str = "text", lang: str = "lang", stopwords: Mapping = STOPWORDS, flagged: Mapping = FLAGGED) -> DataFrame:
     """All metrics beside the columns of ``docs``."""
     c, code = F.coalesce(F.col(text), F.lit("")), F.col(lang)
     return docs.select(
@@ -160,7 +160,7 @@ def metrics(docs: DataFrame, text: str = "text", lang: str = "lang", stopwords:
         word_repetition(c, by_language(code, "word_size")).alias("word_repetition"),
         special_ratio(c).alias("special_ratio"),
         listed_ratio(c, code, stopwords).alias("stop_ratio"),
-        listed_ratio(c, code, flagged or {}).alias("flagged_ratio"),
+        listed_ratio(c, code, flagged).alias("flagged_ratio"),
     )
 
 

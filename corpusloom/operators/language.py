@@ -41,6 +41,15 @@ def identify(docs: DataFrame, text: str = "text", top: int = 1, least: float = 0
     return out.withColumn("pred_langs", F.map_from_arrays(F.transform("_l", lambda x: x["lang"]), F.transform("_l", lambda x: x["score"]))).drop("_l")
 
 
+def other_language(c: Column, lang: Column, lists: Mapping[str, str] = LANGUAGE_WORDS) -> Column:
+    """0.0 where another language scores higher than ``lang``; null else, and for languages without a list.
+
+    Shares of listed words aren't on the scale of the cutoffs, so a document in its language gets no score.
+    """
+    verdict = lambda s: F.when(s[0]["score"] > F.filter(s, lambda x: x["lang"] == lang)[0]["score"], F.lit(0.0))
+    return F.when(lang.isin(list(lists)), T.let(language_scores(c, lists), verdict))
+
+
 def identify_by_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lists: Mapping[str, str] = LANGUAGE_WORDS) -> DataFrame:
     """Language of a document from its lines, each counting by score times length."""
     each = docs.select(F.col(id_col), F.explode(F.split(text, "\n")).alias("line")).where("line <> ''")

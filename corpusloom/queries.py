@@ -298,6 +298,16 @@ def _(s, d):
     return filters.discard_analysis(m.withColumn("discard_reason", filters.discard_reason(m.columns, F.col("lang"))))
 
 
+@query("q09_all_checks")
+def _(s, d):
+    return pipelines.verdicts(docs(s, d)).select("doc_id", "discard_reason")
+
+
+@query("q12_all_checks")
+def _(s, d):
+    return filters.discard_analysis(pipelines.verdicts(docs(s, d)))
+
+
 @query(
     "q13_outlier_histogram",
     """WITH m AS (SELECT median(n_chars::DOUBLE) AS med FROM documents), x AS (SELECT median(abs(n_chars - med)) AS mad FROM documents, m),

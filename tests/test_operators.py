@@ -175,6 +175,18 @@ def test_stop_words_of_the_cutoffs(spark):
     assert one(spark, lambda x: filters.listed_ratio(x, F.lit("en"), filters.STOPWORDS), "alpha beta gamma")[0][0] == 0
 
 
+def test_flagged_words_language_and_perplexity_discard(spark):
+    few = "because they never found another way home, the old farmer and several neighbours stayed overnight until it was the morning"
+    es = " ".join(w for w in filters.STOPWORDS["es"].split() if len(w) > 5 and w.isalpha())[:400]
+    rows = [(1, few, "en", 10.0), (2, few + " porn", "en", 10.0), (3, few, "es", 10.0), (4, few, "en", 1501.0), (5, es + " la casa de los y el", "es", 10.0), (6, few, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity double")
+    got = {r.doc_id: (r.discard_reason, r.flagged_ratio, r.lang_score) for r in pipelines.verdicts(docs).collect()}
+    assert [got[i][0] for i in (1, 2, 4, 6)] == [None, "flagged", "perplexity", None]
+    assert got[2][1] > 0.01 and got[3][2] == 0.0 and got[3][0] is not None and got[5][2] is None
+    kept = {r.doc_id for r in pipelines.filter_corpus(docs).collect()}
+    assert {1, 6} <= kept and not kept & {2, 3, 4}
+
+
 def test_language_and_sampling(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "la casa de los y el", "es")], "doc_id long, text string, lang string")
     assert [r.pred_lang for r in language.identify(docs).orderBy("doc_id").collect()] == ["en", "es"]
