@@ -1,4 +1,4 @@
-"""Shared storage: where written tables go, and cutting lineage by writing them."""
+"""Shared storage: where written tables go, cutting lineage by writing them, and clearing them away."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder that every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in tests on one machine, is a temporary folder made and set.
+    Only where it is unset and the master is on this machine, as in tests, is a temporary folder made
+    and set; on a cluster that would be a different folder on every machine, so it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,7 +32,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that its lineage is cut."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read any more; others are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("_written", None)
+        if path is not None:
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark knows for it."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
