@@ -2,9 +2,10 @@
 
 An ARC record is a header line and as many bytes as the line declares. Version 1 has five fields,
 version 2 ten; the file's first record says which. Fields are taken from the right, since old
-crawlers left blanks in addresses. A converted record gets a WARC identifier (a name-based UUID, so
-that a run that is repeated makes the same), an ISO time, a type, and SHA-256 digests of block and
-payload. A payload that another record already holds becomes a revisit without payload.
+crawlers left blanks in addresses. A converted record gets a WARC identifier (a UUID of its file's whole
+address, place and payload, so that a run that is repeated makes the same), an ISO time, a type, and SHA-256
+digests of block and payload. A payload that another record already holds becomes a revisit without
+payload. A record that can't be read is reported, and reading goes on at the next header line.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import AtomicFile, materialize, open_fs
@@ -49,37 +51,88 @@ class ArcError(ValueError):
     """A header line or a declared length that the format doesn't allow."""
 
 
-def read_arc(stream) -> Iterator[ArcRecord]:
-    """Records of an uncompressed ARC stream, without the version record."""
-    version = None
+@dataclass
+class ArcFault:
+    """What was passed over instead of a record: the place of its header in the uncompressed stream."""
+
+    offset: int
+    reason: str
+
+
+def arc_date(text: str) -> str:
+    """14 digits of a date of 8 (day), 10 (hour), 12 (minute) or 14 digits."""
+    if not re.fullmatch(r"\d{8}(?:\d\d){0,3}", text):
+        raise ArcError(f"bad date {text!r}")
+    text += "0" * (14 - len(text))
+    try:
+        datetime.strptime(text, "%Y%m%d%H%M%S")
+    except ValueError:
+        raise ArcError(f"bad date {text!r}") from None
+    return text
+
+
+def _fields(line: bytes, version: int | None) -> tuple[list[bytes], int]:
+    """Fields of a header line, and the declared length."""
+    fields = line.rsplit(b" ", _FIELDS[version or 1] - 1)
+    if version is None and len(line.split(b" ")) == _FIELDS[2]:
+        fields = line.split(b" ")
+    if len(fields) not in _FIELDS.values() or not fields[-1].isdigit():
+        raise ArcError(f"bad header line {line[:200]!r}")
+    return fields, int(fields[-1])
+
+
+def read_arc(stream, strict: bool = False) -> Iterator[ArcRecord | ArcFault]:
+    """Records of an uncompressed ARC stream, without the version record.
+
+    A line that is no header gives one fault, and reading goes on at the next line that is one; a date
+    that isn't one gives a fault instead of its record. A record that ends early is the last fault.
+    With ``strict`` the first fault is raised as ArcError. Without a version block nothing is read.
+    """
+    version, at, lost = None, 0, False
+
+    def fault(place: int, reason: str) -> ArcFault:
+        if strict:
+            raise ArcError(reason)
+        return ArcFault(place, reason)
+
     while line := stream.readline():
+        place, at = at, at + len(line)
         if not line.strip():
             continue
         line = line.rstrip(b"\r\n")
         if version is None and not line.startswith(b"filedesc:"):
-            raise ArcError("the first record isn't a version block")
-        n = _FIELDS[version or 1]
-        fields = line.rsplit(b" ", n - 1)
-        if version is None and len(line.split(b" ")) == _FIELDS[2]:
-            fields = line.split(b" ")
+            yield fault(place, "the first record isn't a version block")
+            return
         try:
-            size = int(fields[-1])
-            if len(fields) not in _FIELDS.values() or size < 0:
-                raise ValueError
-        except ValueError:
-            raise ArcError(f"bad header line {line[:200]!r}") from None
+            fields, size = _fields(line, version)
+            if lost and not re.fullmatch(rb"\d{8,14}", fields[2]):
+                raise ArcError("not a header line")
+        except ArcError as error:
+            if not lost:
+                yield fault(place, str(error))
+                lost = True
+            if version is None:
+                return
+            continue
+        lost = False
         body = stream.read(size)
         if len(body) < size:
-            raise ArcError(f"{size} bytes are declared, {len(body)} are left")
+            yield fault(place, f"{size} bytes are declared, {len(body)} are left")
+            return
+        at += size
         if version is None:
-            version = int(body.split(b" ", 1)[0] or b"0")
+            head = body.split(b" ", 1)[0].strip()
+            version = int(head) if head.isdigit() else 0
             if version not in _FIELDS:
-                raise ArcError(f"version {version} isn't known")
+                yield fault(place, f"version {version} isn't known")
+                return
             continue
-        date = fields[2].decode("ascii", "replace")
-        if not re.fullmatch(r"\d{14}", date):
-            raise ArcError(f"bad date {date!r}")
         text = [f.decode("utf-8", "replace") for f in fields]
+        try:
+            date = arc_date(text[2])
+        except ArcError as error:
+            yield fault(place, str(error))
+            continue
         status, checksum = (text[4], text[5]) if version == 2 else ("-", "-")
         yield ArcRecord(text[0], text[1], date, text[3], body, status, checksum)
 
@@ -97,14 +150,26 @@ def arc_record(record: ArcRecord, version: int, name: str, offset: int) -> bytes
 
 
 def split_http(body: bytes) -> tuple[bytes, bytes]:
-    """HTTP head with its blank line, and payload. Without a head all is payload."""
+    """HTTP head with its blank line, of either kind of line end, and payload. Without a head all is payload."""
     if body.startswith(b"HTTP/"):
-        head, blank, payload = body.partition(b"\r\n\r\n")
+        blank = re.search(rb"\r?\n\r?\n", body)
         if blank:
-            return head + blank, payload
+            return body[: blank.end()], body[blank.end() :]
     return b"", body
 
 
+def record_name(file: str, ordinal: int, payload_digest: str) -> str:
+    """Whole address of the ARC file, place in it, and payload: no two records have the same."""
+    return f"{file}#{ordinal}#{payload_digest}"
+
+
+def target_name(source: str) -> str:
+    """Name of the WARC file of an ARC file; those of equal names in different folders differ."""
+    base = source.rsplit("/", 1)[-1]
+    stem, dot, rest = base.partition(".arc")
+    return f"{stem}-{hashlib.sha256(source.encode()).hexdigest()[:12]}.warc{rest if dot else ''}"
+
+
 def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
@@ -211,34 +276,38 @@ def repeated_payloads(records: DataFrame, least: int = 100) -> DataFrame:
 
 
 def convert_arc_files(files: DataFrame, out_dir: str, level: int = 2) -> DataFrame:
-    """Convert each ARC file of ``files`` (file, repeats or null) to a WARC file of the same name.
+    """Convert each ARC file of ``files`` (file, repeats or null) to a WARC file.
 
     A record whose payload digest is among the repeats refers to their first, unless it is that one.
-    Returns file and n_records. A malformed file raises ArcError.
+    Returns source, file, n_records, and faults: offset and reason of what was passed over.
     """
-    fields = pa.schema([("file", pa.string()), ("n_records", pa.int64())])
+    kind = pa.list_(pa.struct([("offset", pa.int64()), ("reason", pa.string())]))
+    fields = pa.schema([("source", pa.string()), ("file", pa.string()), ("n_records", pa.int64()), ("faults", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, repeats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 known = {r["digest"]: r for r in repeats or ()}
-                base = source.rsplit("/", 1)[1]
-                target = f"{out_dir}/{base.replace('.arc', '.warc')}"
-                file, n = AtomicFile(target), 0
+                target = f"{out_dir}/{target_name(source)}"
+                file, n, faults = AtomicFile(target), 0, []
                 with _open_gzip(source) as stream:
-                    for n, record in enumerate(read_arc(stream), 1):
-                        head, payload = split_http(record.body)
-                        first = known.get(hashlib.sha256(payload).hexdigest()) if known else None
+                    for record in read_arc(stream):
+                        if isinstance(record, ArcFault):
+                            faults.append({"offset": record.offset, "reason": record.reason})
+                            continue
+                        digest = hashlib.sha256(split_http(record.body)[1]).hexdigest()
+                        first = known.get(digest)
                         refers, extra = None, ()
-                        if first and (first["first_file"], first["first_ordinal"]) != (source, n - 1):
-                            refers = f"{first['first_file'].rsplit('/', 1)[1]}#{first['first_ordinal']}"
+                        if first and (first["first_file"], first["first_ordinal"]) != (source, n):
+                            refers = record_name(first["first_file"], first["first_ordinal"], digest)
                             extra = () if first["id"] == _LAST else (("X-Refers-To-Key", str(first["id"])),)
-                        file.write(_member(to_warc(record, f"{base}#{n - 1}", refers, extra), level))
+                        file.write(_member(to_warc(record, record_name(source, n, digest), refers, extra), level))
+                        n += 1
                 file.commit()
-                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([target]), pa.array([n], pa.int64()), pa.array([faults], kind)], schema=fields)
 
     n = max(1, files.count())
-    return files.select("file", "repeats").repartition(n, "file").mapInArrow(run, "file string, n_records long")
+    return files.select("file", "repeats").repartition(n, "file").mapInArrow(run, "source string, file string, n_records long, faults array<struct<offset:long,reason:string>>")
 
 
 def read_warc_files(files: DataFrame) -> DataFrame:
@@ -276,8 +345,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def archive_pages(pages: DataFrame, out_dir: str, least: int = 100, **columns: str) -> DataFrame:
     """Pages to ARC, ARC to WARC with revisits, and the WARC files read back.
 
-    Rows may repeat: of equal rows the first in place is the response. An empty table gives no file
-    and no row. Other columns are ignored.
+    Rows may repeat: of equal rows the first in place is the response. A null html is an empty payload,
+    a null id comes back as null and is the last choice for a response; a very long html is one record in
+    the memory of its task. An empty table gives no file and no row. Other columns are ignored.
     """
     records = materialize(write_arc_files(pages, f"{out_dir}/arc", **columns), "arc-records")
     files = materialize(records.select("file").distinct().join(repeated_payloads(records, least), "file", "left"), "arc-files")

@@ -9,8 +9,11 @@ sum(min) / sum(max) without bias, in about n + m log m points instead of n * m.
 
 Equal word sequences are one text from the start. Band keys of the signatures give buckets. In each
 bucket a centre is compared with all others, by exact overlap of the multisets; what links becomes a
-component. Members of a bucket that are still in different components are compared with each other, in
-blocks, so every pair that shares a bucket is linked, compared, or already in one class.
+component. A bucket whose members are then still in several components is open. Pairs of texts of
+open buckets are found by prefixes: with a text's shingles in the order of their frequency, rare ones first,
+two texts can only overlap enough if they share one before the weight that is left falls below
+what the overlap asks for. So no bucket is compared all with all, whatever its size, and no pair of
+open buckets that is similar enough is lost.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialize, string_buffers
+from .common import discard, materialize, string_buffers, text_runs
 from .licenses import _BLANK
-from .packing import _runs
 from .quality import _words
 from .units import hash_spans
 
@@ -38,8 +40,10 @@ _TABLE = np.frombuffer(_BLANK, np.uint8)
 _M1, _M2, _STEP, _STRIP = (_U(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _SHORT = _U(0x2545F4914F6CDD1D)
 _KEY_BITS = 52  # of a shingle, beside 12 for its document in a run
-#: Most texts of a block; two blocks of a bucket are compared in one task's memory.
-BLOCK = 256
+#: Rows of a shared shingle that are joined in one part; beyond it they are salted.
+BLOCK = 1000
+#: Parts of a centre's members.
+PARTS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,32 +143,45 @@ def _multisets(column: pa.Array, width: int) -> list[tuple[np.ndarray, np.ndarra
 
 
 def _groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    for a, b in _runs(offsets, 2 << 20):
+    for a, b in text_runs(offsets, 2 << 20):
         for lo in range(a, b, 4096):
             yield lo, min(b, lo + 4096)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("words", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _digest(data: bytes) -> bytes | None:
+    """Key of a text: of its words, or of its bytes if it has none; null for an empty text."""
+    words = data.translate(_BLANK).split()
+    if not words and not data:
+        return None
+    return hashlib.blake2b(b" ".join(words) if words else data, digest_size=16, person=b"words" if words else b"bytes").digest()
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, hash of the word sequence, number of shingles (0: no words) and band keys."""
+    """doc_id, hash of the text, key of the word sequence, number of shingles (0: no words) and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = string_buffers(batch.column(1))
+            raw, offsets = string_buffers(batch.column(2))
             for a, b in _groups(offsets):
                 part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 doc, key, count = shingles(part, at, width)
                 keys = band_keys(signatures(doc, key, count, b - a, bands * rows), bands, rows)
                 data, at = part.tobytes(), at.tolist()
-                digests = [hashlib.blake2b(b" ".join(data[s:e].translate(_BLANK).split()), digest_size=16).digest() for s, e in zip(at, at[1:])]
+                digests = [_digest(data[s:e]) for s, e in zip(at, at[1:])]
                 total = np.bincount(doc, count, b - a).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(total), lists], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(total), lists], schema=_SIGNED)
+
+    return _named(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, words binary, n long, bands array<long>")
 
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows_.mapInArrow(run, "doc_id long, text_hash binary, n long, bands array<long>")
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash and text: what names a row of documents, as an id may come with several texts."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 2000) -> DataFrame:
@@ -180,137 +197,181 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return many.unionByName(few)
 
 
-def _verify_centres(width: int, least: float):
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([(x, pa.int64()) for x in ("a_id", "a_hash", "b_id", "b_hash")] + [("similarity", pa.float64())])
+
+
+def _verify(width: int, least: float):
+    """Overlap of each member with its centre; rows come by centre and part, the centre's own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, centre = None, None
         for batch in batches:
-            sets = _multisets(batch.column(3), width)
+            sets = _multisets(batch.column(5), width)
             found = []
-            for c, member, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets):
-                if member is None:
-                    here, centre = c, s
-                elif c != here:
+            for c, c_hash, m, m_hash, leads, s in zip(*(batch.column(i).to_pylist() for i in range(5)), sets):
+                if leads:
+                    here, centre = (c, c_hash), s
+                elif (c, c_hash) != here:
                     raise ValueError(f"the text of {c} is missing")
-                elif overlap(centre, s) >= least:
-                    found.append((member, c))
+                else:
+                    same = overlap(centre, s)
+                    if same >= least:
+                        found.append((m, m_hash, c, c_hash, same))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), _LINKS)], schema=_LINKS)
 
     return run
 
 
-def _verify_blocks(width: int, least: float):
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _compare(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """Links among pairs (node, centre), each a struct of doc_id and text_hash: a, b, similarity.
 
-    def compare(members: list) -> list[tuple[int, int]]:
-        found, label = [], {m[2]: m[2] for m in members}
+    A centre's text goes once to each of ``PARTS`` parts of its members, a member's once to each centre.
+    """
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    members = salted.select("centre", "part", F.col("node").alias("own"), F.lit(False).alias("leads"))
+    centres = salted.select("centre", "part", F.col("centre").alias("own"), F.lit(True).alias("leads")).distinct()
+    asked = members.unionByName(centres).select("centre", "part", "leads", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash"))
+    laid = texts.join(asked, ["doc_id", "text_hash"]).repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("leads"))
+    found = laid.select("centre.doc_id", "centre.text_hash", F.col("doc_id").alias("m"), F.col("text_hash").alias("m_hash"), "leads", "text").mapInArrow(_verify(width, least), "a_id long, a_hash long, b_id long, b_hash long, similarity double")
+    node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_hash").alias("text_hash")).alias(x)
+    return found.select(node("a"), node("b"), "similarity")
 
-        def root(x):
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            return x
 
-        for i, (side, one, part, bands, at, own) in enumerate(members):
-            for side2, two, part2, bands2, _, own2 in members[:i]:
-                x, y = root(part), root(part2)
-                # a pair is compared in the first bucket that it shares, and once among blocks
-                if x == y or side == side2 == 1 or (side == side2 == 0 and at[1] != at[2]) or (bands[: at[0]] == bands2[: at[0]]).any():
-                    continue
-                small, large = sorted((int(own[1].sum()), int(own2[1].sum())))
-                if small >= least * large and overlap(own, own2) >= least:
-                    found.append((one, two))
-                    label[x] = y
-        return found
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.list_(pa.struct([("key", pa.int64()), ("count", pa.int64())])))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, members = None, []
 
-        def out(found):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=fields)
+def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """A row a distinct shingle: node, key, count."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = _multisets(batch.column(8), width)
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            lists = batch.column(7)
-            for i, (key, i1, i2, band, side, member, part) in enumerate(zip(*columns)):
-                if (key, i1, i2) != here:
-                    yield from out(compare(members))
-                    here, members = (key, i1, i2), []
-                members.append((side, member, part, np.asarray(lists[i].values), (band, i1, i2), sets[i]))
-        yield from out(compare(members))
+            raw, offsets = string_buffers(batch.column(2))
+            for a, b in _groups(offsets):
+                doc, key, count = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                edge = np.searchsorted(doc, np.arange(b - a + 1))
+                items = pa.StructArray.from_arrays([pa.array(key.astype(np.int64)), pa.array(count.astype(np.int64))], ["key", "count"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), items)], schema=_SETS)
+
+    rows = texts.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, shingles array<struct<key:long,count:long>>")
+    return rows.select(F.struct("doc_id", "text_hash").alias("node"), F.explode("shingles").alias("s")).select("node", "s.key", "s.count")
 
-    return run
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Pairs (node, centre) of different labels that may overlap by ``least``: no other pair does.
+
+    ``sets`` has a row a shingle of a node: node, key, count; ``labels`` node, own and the node's weight n.
+    In the order of frequency, then key, the first shingle that two texts share bounds their overlap
+    by the weight from there on, which must reach least / (1 + least) of their weights' sum. For the
+    smaller of two texts that is more than for the larger one, so its prefix is shorter.
+    """
+    total = sets.count()
+    often = materialize(sets.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "near-often")
+    known = join_groups(sets, often, ["key"], "often", total)
+    # shingles of one text only come first in the order and are in no pair: what counts is their weight
+    order = W.partitionBy("node").orderBy("often", "key").rowsBetween(0, W.unboundedFollowing)
+    rest = known.withColumn("rest", F.sum("count").over(order)).join(labels, "node")
+    prefix = rest.where(F.col("rest") >= F.col("n") * (least - 1e-9)).select("key", "node", "own", "n", "rest", (F.col("rest") >= F.col("n") * (2 * least / (1 + least) - 1e-9)).alias("short"))
+    prefix = materialize(prefix, "near-prefixes")
+    size = materialize(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("short").cast("long")).alias("shorts")).where("rows > 1 AND shorts > 0"), "near-prefix-keys")
+    sized = join_groups(prefix, size, ["key"], "rows", total).withColumn("salts", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    large = sized.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("key", "salt", "node", "own", "n", "rest")
+    small = sized.where("short").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("centre"), F.col("own").alias("own2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
+    met = large.join(small, ["key", "salt"]).where((F.col("own") != F.col("own2")) & (F.col("n2") <= F.col("n")) & (F.col("n2") >= F.col("n") * (least - 1e-9)) & ((F.col("n2") < F.col("n")) | (F.col("centre") < F.col("node"))))
+    out = materialize(met.where(F.least("rest", "rest2") >= (F.col("n") + F.col("n2")) * (least / (1 + least) - 1e-9)).select("node", "centre").distinct(), "near-candidates")
+    discard(often, prefix, size)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id, the smallest id among the documents that links of ``least`` or more connect.
+    """A row a document: doc_id, text_hash, class_id, is_first, copy_of, link_id and similarity.
+
+    ``class_id`` is the smallest id among the documents that links of ``least`` or more connect;
+    ``is_first`` marks the row that has it. ``copy_of`` is the smallest id with the same words;
+    ``link_id`` is the text that this one, or the one that it is a copy of, was found most similar to among
+    those compared, and ``similarity`` their overlap; both are null where there is no such text.
 
     Words are lower-case runs of digits, ASCII letters and characters beyond ASCII, so texts that
-    differ in other characters only are equal. A document without words is a class of its own. An id
-    names one text: repeated rows give repeated rows of one class. A null id gives a null class and
-    links nothing; a null text is empty; other columns are ignored; an empty table gives no rows.
-    A pair of similarity 0.8 shares a bucket with probability 1 - 5e-5, and a closer pair more surely.
+    differ in other characters only are equal. Texts without words are copies if they are equal; an
+    empty or null text is a class of its own. A row is named by id and text: rows of one id with
+    different texts may be in different classes, and repeated rows give repeated rows of one class. A
+    null id gives nulls and links nothing; very long texts count whole; other columns are ignored; an
+    empty table gives no rows. A pair of similarity 0.8 shares a bucket with probability 1 - 5e-5, and a
+    closer pair more surely.
     """
-    signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, bands, rows), "near-signed")
-    worded = signed.where("n > 0")
-    reps = materialize(
-        worded.groupBy("text_hash").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("copies")).select("text_hash", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"), "copies"),
-        "near-texts",
-    )
-    labels = _link(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), reps, least, width)
-    classes = materialize(reps.join(labels, reps["rep"] == labels["node"], "left").select("text_hash", F.coalesce("label", "rep").alias("class_id"), "copies"), "near-classes")
-    of = join_groups(worded.select("doc_id", "text_hash"), classes, ["text_hash"], "copies", reps.agg(F.sum("copies")).first()[0] or 0).select("doc_id", "class_id")
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+    node = F.struct("doc_id", "text_hash")
+    signed = materialize(sign(docs, id_col, text_col, width, bands, rows), "near-signed")
+    named = signed.where("words IS NOT NULL")
+    found = named.groupBy("words").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(found.select("words", F.struct("r.doc_id", "r.text_hash").alias("node"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"), "copies"), "near-texts")
+    labels, links = _link(_named(docs, id_col, text_col), reps.where("n > 0").select("node", "n", "bands"), least, width)
+    both = links.select("a", "b", "similarity").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    best = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("b.doc_id").alias("link_id"))).alias("x")).select("node", "x.link_id", (-F.col("x.s")).alias("similarity"))
+    classes = reps.select("words", "node", "copies").join(labels, "node", "left").join(best, "node", "left")
+    classes = materialize(classes.select("words", F.coalesce("label", "node").alias("label"), F.col("node.doc_id").alias("copy_of"), "link_id", "similarity", "copies"), "near-classes")
+    total = reps.agg(F.sum("copies")).first()[0] or 0
+    discard(reps, labels, links)
+    of = join_groups(named.select("doc_id", "text_hash", "words"), classes, ["words"], "copies", total)
+    of = of.select("doc_id", "text_hash", F.col("label.doc_id").alias("class_id"), (node == F.col("label")).alias("is_first"), "copy_of", "link_id", "similarity")
+    unlinked = F.lit(None).cast("long").alias("link_id"), F.lit(None).cast("double").alias("similarity")
+    alone = signed.where("words IS NULL").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"), F.col("doc_id").alias("copy_of"), *unlinked)
+    none = F.lit(None).cast("long")
+    nameless = docs.where(F.col(id_col).isNull()).select(none.alias("doc_id"), none.alias("text_hash"), none.alias("class_id"), F.lit(None).cast("boolean").alias("is_first"), none.alias("copy_of"), *unlinked)
     return of.unionByName(alone).unionByName(nameless)
 
 
-def _link(texts: DataFrame, reps: DataFrame, least: float, width: int) -> DataFrame:
-    """Component label of every distinct text that has a link: node, label."""
-    banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    pick = F.min(F.struct(F.xxhash64("key", "rep").alias("h"), F.col("rep"), F.col("n")))
-    buckets = materialize(banded.groupBy("key").agg(pick.alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), "size"), "near-buckets")
+def _link(texts: DataFrame, reps: DataFrame, least: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """Component label of every distinct text that has a link, and the links: (node, label), (a, b, similarity)."""
+    banded = reps.select("node", "n", F.explode("bands").alias("key"))
+    # one order for all buckets, so that texts that share several have one centre
+    pick = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("n")))
+    buckets = materialize(banded.groupBy("key").agg(pick.alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), "size"), "near-buckets")
     total = reps.count()
     shared = materialize(join_groups(banded, buckets, ["key"], "size", total), "near-shared")
     sized = F.least("n", "centre_n") >= F.lit(least) * F.greatest("n", "centre_n")
-    pairs = materialize(shared.where((F.col("rep") != F.col("centre")) & sized).select("rep", "centre").distinct(), "near-pairs")
-
-    # the text of a centre goes once to each of up to 64 parts of its members
-    salted = pairs.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
-    asked = salted.select(F.col("rep").alias("doc_id"), "centre", "part", F.col("rep").alias("member")).unionByName(salted.select(F.col("centre").alias("doc_id"), "centre", "part", F.lit(None).cast("long").alias("member")).distinct())
-    laid = texts.join(asked, "doc_id").repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("member").asc_nulls_first())
-    edges = materialize(laid.select("centre", "part", "member", "text").mapInArrow(_verify_centres(width, least), "a long, b long"), "near-links")
-    first = components(edges)
+    pairs = shared.where((F.col("node") != F.col("centre")) & sized).select("node", "centre").distinct()
+    links = materialize(_compare(texts, pairs, width, least), "near-links")
+    first = components(links.select("a", "b"))
 
     # buckets whose members are still in several components
-    placed = shared.select("key", "band", "rep", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("own", F.coalesce("label", "rep")).drop("label")
-    placed = materialize(placed, "near-placed")
-    open_ = materialize(placed.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size"), "near-open")
-    rest = join_groups(placed, open_, ["key"], "size", total)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    met = rest.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("i1"), F.greatest("block", "other").alias("i2"), "band", (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "own").distinct()
-    given = met.join(reps.select("rep", "bands"), "rep").withColumnRenamed("rep", "doc_id")
-    laid = texts.join(given, "doc_id").repartition("key", "i1", "i2").sortWithinPartitions("key", "i1", "i2", "doc_id").select("key", "i1", "i2", "band", "side", F.col("doc_id").alias("member"), "own", "bands", "text")
-    more = materialize(laid.mapInArrow(_verify_blocks(width, least), "a long, b long"), "near-more-links")
+    placed = materialize(shared.select("key", "node", "n").join(first, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("own")), "near-placed")
+    differ = (F.min("own.doc_id") != F.max("own.doc_id")) | (F.min("own.text_hash") != F.max("own.text_hash"))
+    open_ = materialize(placed.groupBy("key").agg(differ.alias("open"), F.count(F.lit(1)).alias("size")).where("open").select("key", "size"), "near-open")
+    nodes = materialize(join_groups(placed, open_, ["key"], "size", total).select("node", "own", "n").distinct(), "near-open-texts")
+    discard(buckets, shared, placed, open_)
+    if nodes.isEmpty():
+        return first, links
+    wanted = nodes.select(F.col("node.doc_id").alias("doc_id"), F.col("node.text_hash").alias("text_hash"))
+    sets = materialize(_shingle_rows(texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]), width), "near-open-sets")
+    candidates = prefix_pairs(sets, nodes, least)
+    more = materialize(_compare(texts, candidates, width, least), "near-more-links")
+    discard(nodes, sets, candidates)
     if more.isEmpty():
-        return first
-    return components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+        return first, links
+    return components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b"))), links.unionByName(more)
 
 
-def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of each class, that of the smallest id; rows without an id stay.
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, its first; rows without an id stay.
 
-    Other columns may have any name; of repeated rows one stays.
+    Columns of ``docs`` may have any name. Of repeated rows of one id and text the one stays whose
+    columns, as JSON, come first.
     """
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    named = kept.where(F.col(id_col).isNotNull()).withColumn("_nth", F.row_number().over(W.partitionBy(id_col).orderBy(F.lit(0)))).where("_nth = 1").drop("_nth")
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    names = {c.lower() for c in docs.columns}
+
+    def fresh(name: str) -> str:
+        while name in names:
+            name += "_"
+        return name
+
+    key, hash_, nth = fresh("_nd_id"), fresh("_nd_hash"), fresh("_nd_nth")
+    own = lambda df: df.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_))
+    named = docs.select("*", F.col(id_col).cast("long").alias(key), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(hash_))
+    kept = named.join(own(classes.where("NOT is_first")).distinct(), [key, hash_], "left_anti")
+    twice = own(classes.where("is_first")).groupBy(key, hash_).count().where("count > 1").drop("count")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if twice.isEmpty():
+        return kept.select(*columns)
+    order = F.to_json(F.struct(*columns))
+    of = kept.join(twice, [key, hash_]).withColumn(nth, F.row_number().over(W.partitionBy(key, hash_).orderBy(order))).where(F.col(nth) == 1)
+    return kept.join(twice, [key, hash_], "left_anti").select(*columns).union(of.select(*columns))

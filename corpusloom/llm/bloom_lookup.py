@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Paragraphs are lines, and of a longer line every run of ``PARAGRAPH_WORDS`` words; a digest is 64 bits
-of the paragraph and of how often it came before in the document. A sketch has three parts, and a
+Paragraphs are lines, and parts of longer lines: a line is cut after each word whose hash says so, one in
+``PARAGRAPH_WORDS``, so that a word put in or left out changes the part around it and no other. In
+scripts without blanks a character is a word. A digest is 64 bits of BLAKE2 of the paragraph, mixed
+with how often it came before in the document. A sketch has three parts, and a
 digest goes to one cell of each: the cell counts, and xors digests and their checks. Sketches of
 two versions are subtracted cell by cell; a cell with one digest left gives it up, which frees other
 cells, until nothing is left and all differing digests are known. If some stay, both versions are
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import ordered_parts
 from .units import hash_spans
 
+#: Words of a paragraph in a long line, on average.
 PARAGRAPH_WORDS = 8
 #: Cells of the fingerprint that is kept; comparisons grow beyond it where they must.
 CELLS = 24
@@ -29,7 +32,6 @@ _TRIES = 16
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 _SEEDS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-_FIRST = -(1 << 63)
 
 
 def _mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -39,29 +41,38 @@ def _mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
+def paragraphs(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the paragraphs of texts that begin at ``first``, without the line end or blank behind them."""
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[first] = True
+    begins[np.flatnonzero(raw == 10) + 1] = True
+    # words end after blanks and line ends, and after characters of three bytes from U+3000 on
+    ends = np.flatnonzero((raw == 32) | (raw == 10)) + 1
+    wide = np.flatnonzero((raw >= 0xE3) & (raw <= 0xED)) + 3
+    ends = np.unique(np.concatenate((ends, wide[wide <= len(raw)], first[1:], [len(raw)])))
+    ends = ends[ends > 0]
+    words = np.concatenate(([0], ends[:-1]))
+    cut = ends[hash_spans(raw, words, ends) >> _U(1) & _U(PARAGRAPH_WORDS - 1) == 0]
+    begins[cut] = True
+    starts = np.flatnonzero(begins[:-1])
+    stops = np.append(starts[1:], len(raw))
+    stops -= (raw[stops - 1] == 10) | (raw[stops - 1] == 32)
+    keep = stops > starts
+    return starts[keep], stops[keep]
+
+
 def paragraph_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Document index (ascending) and digest of every paragraph; equal ones get different digests."""
     size = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    data = b"".join(texts)
+    raw = np.frombuffer(data, np.uint8)
     first = np.cumsum(size) - size
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    begins = np.zeros(len(raw) + 1, bool)
-    begins[first] = True
-    begins[np.flatnonzero(raw == 10) + 1] = True
-    lines = np.flatnonzero(begins[:-1])
-    spaces = np.flatnonzero(raw == 32)
-    of = np.searchsorted(lines, spaces, "right") - 1
-    before = np.searchsorted(spaces, lines)  # spaces before each line
-    nth = np.arange(len(spaces)) - before[of] + 1
-    begins[spaces[nth % PARAGRAPH_WORDS == 0] + 1] = True
-    starts = np.flatnonzero(begins[:-1])
-    ends = np.append(starts[1:], len(raw))
-    ends -= (raw[ends - 1] == 10) | (raw[ends - 1] == 32)
-    keep = ends > starts
-    starts, ends = starts[keep], ends[keep]
-    doc = np.searchsorted(first, starts, "right") - 1
-    digest = hash_spans(raw, starts, ends)
+    first = first[size > 0]
+    starts, ends = paragraphs(raw, first)
+    doc = np.flatnonzero(size > 0)[np.searchsorted(first, starts, "right") - 1]
+    digest = np.frombuffer(b"".join([hashlib.blake2b(data[s:e], digest_size=8).digest() for s, e in zip(starts.tolist(), ends.tolist())]), "<u8")
     order = np.lexsort((digest, doc))
     doc, digest = doc[order], digest[order]
     new = np.ones(len(doc), bool)
@@ -202,25 +213,22 @@ def _compare(keys: list, texts: list[str], after: str) -> pa.RecordBatch:
 def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_chars: int = 1 << 20) -> DataFrame:
     """Fingerprint each document and its edited version, and compare it with that and with the next.
 
-    Documents are in the order of id, then text; after the last comes the first; a null id comes
-    before all others and stays null; a null or empty text has no paragraph, and two such are alike
-    (1.0). Repeated rows are documents of their own. An empty table gives an empty result; other
-    columns are ignored. ``n_added`` and ``n_removed`` count the recovered digests of the edit.
+    Documents are in the order of id, and of one id by a hash of their text; after the last comes the
+    first; a null id comes before all others and stays null; a null or empty text has no paragraph, and
+    two such are alike (1.0). Repeated rows are documents of their own. Very long texts are whole, in
+    the memory of one task. An empty table gives an empty result; other columns are ignored.
+    ``n_added`` and ``n_removed`` count the recovered digests of the edit.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_key", F.coalesce("doc_id", F.lit(_FIRST)))
-    parted, n = ordered_parts(rows, "_key", "text")
-    # The first document of a part also goes, marked, to the part before: one a part, ids only.
-    firsts = {p: k for p, k in parted.groupBy("_part").agg(F.min("_key")).collect()}
-    parts = sorted(firsts)
-    before = {firsts[p]: parts[i - 1] for i, p in enumerate(parts)}
-    homes = F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("m")))
-    if before:
-        lookup = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if len(before) <= 10_000 else None
-        previous = F.element_at(lookup, F.col("_key")) if lookup is not None else F.pmod(F.col("_part") - 1, F.lit(len(parts)))
-        is_first = F.col("_key").isin(list(before))
-        homes = F.when(is_first, F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("m")), F.struct(previous.cast("int").alias("p"), F.lit(True).alias("m")))).otherwise(homes)
-    laid = parted.withColumn("_home", F.explode(homes)).select("doc_id", "text", F.col("_home.p").alias("_p"), F.col("_home.m").alias("_m"), "_key")
-    laid = laid.repartitionById(n, F.col("_p")).sortWithinPartitions("_p", "_m", "_key", "text").select("doc_id", "text", "_p", "_m")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parted, order = ordered_parts(rows, "doc_id", "text")
+    # The first document of a part also goes, marked, to the part before it: three longs a part on the driver.
+    found = sorted((p, (k["_key"], k["_tie"])) for p, k in parted.groupBy("_part").agg(F.min(F.struct("_key", "_tie"))).collect())
+    before = {k: found[i - 1][0] for i, (_, k) in enumerate(found)}
+    back = order.part("_key", "_tie", before) if len(found) > 1 else F.when((F.col("_key") == found[0][1][0]) & (F.col("_tie") == found[0][1][1]), 0).otherwise(-1) if found else F.lit(-1)
+    own = F.struct(F.col("_part").alias("p"), F.lit(False).alias("m"))
+    homes = F.when(F.col("_back") >= 0, F.array(own, F.struct(F.col("_back").alias("p"), F.lit(True).alias("m")))).otherwise(F.array(own))
+    laid = parted.withColumn("_back", back.cast("int")).withColumn("_home", F.explode(homes)).select("doc_id", "text", F.col("_home.p").alias("_p"), F.col("_home.m").alias("_m"), "_key", "_tie")
+    laid = laid.repartitionById(order.parts, F.col("_p")).sortWithinPartitions("_p", "_m", "_key", "_tie", "text").select("doc_id", "text", "_p", "_m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []

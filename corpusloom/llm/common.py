@@ -4,28 +4,32 @@ from __future__ import annotations
 
 import os
 import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_path, table  # noqa: F401 - for the operators beside this module
+from ..storage import discard, materialize, shared_path, table  # noqa: F401 - for the operators beside this module
 
 #: Bytes of text that one ordered partition should hold.
 PARTITION_BYTES = 32 << 20
-#: Most ordered partitions, as the plan names their bounds; beyond it they grow, and are streamed and sorted on disk.
-MOST_PARTITIONS = 8192
+#: Rows of the sample for each bound between ordered partitions.
+SAMPLE_ROWS = 40
+FIRST = -(1 << 63)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI or of a plain local path."""
+    """File system and path of a URI or of a plain local path; s3a and s3n are read as s3."""
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
 class AtomicFile:
@@ -67,34 +71,68 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def ordered_parts(df: DataFrame, key: str, text: str, partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, int]:
-    """Add ``_part``, ascending with ``key``; also the number of parts.
+def text_runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes, one text at least."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
+        yield a, b
+        a = b
 
-    ``repartitionById(n, "_part")`` then lays the rows out in the order of the key. The bounds are approximate quantiles of the key, one a ``partition_bytes`` of text, so they
-    grow with the input; the driver holds these bounds only. Null keys come first.
+
+class Order:
+    """Parts of rows in the order of two longs, the second telling rows of one key apart.
+
+    ``bounds`` are the last pairs of all parts but the last. They are one a part, and go to the tasks in
+    the function that looks them up, so there may be any number of them.
+    """
+
+    def __init__(self, bounds: list[tuple[int, int]]):
+        self.bounds = bounds
+        self.parts = len(bounds) + 1
+
+    def part(self, key: str, tie: str, firsts: dict[tuple[int, int], int] | None = None):
+        """Column of part numbers, or, with ``firsts``, of what that holds for the pair, else -1."""
+        bounds = self.bounds
+        keys = np.array([k for k, _ in bounds], np.int64)
+
+        @F.arrow_udf("int")
+        def of(a: pa.Array, b: pa.Array) -> pa.Array:
+            k = np.asarray(a)
+            if firsts is not None:
+                known = np.fromiter((f for f, _ in firsts), np.int64, len(firsts))
+                out = np.full(len(k), -1, np.int32)
+                for i in np.flatnonzero(np.isin(k, known)).tolist():
+                    out[i] = firsts.get((int(k[i]), b[i].as_py()), -1)
+                return pa.array(out)
+            lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                lo[i] = bisect_left(bounds, (int(k[i]), b[i].as_py()))
+            return pa.array(lo.astype(np.int32))
+
+        return of(F.col(key), F.col(tie))
+
+
+def ordered_parts(rows: DataFrame, key: str, text: str, partition_bytes: int = PARTITION_BYTES, seed: int = 17) -> tuple[DataFrame, Order]:
+    """Add ``_key``, ``_tie`` and ``_part``, which ascends with them; also the order itself.
+
+    ``repartitionById(order.parts, "_part")`` then lays the rows out by key (null first), and rows of one
+    key by the hash of their text, so a key that many rows share is spread over parts as well. Bounds
+    come from a sample of ``SAMPLE_ROWS`` rows a part, weighed by the bytes of their texts; parts grow
+    in number with the input. The driver holds three longs a row of the sample.
     """
-    total, rows = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
-    n = int(max(1, min(rows, MOST_PARTITIONS, -(-(total or 0) // partition_bytes))))
-    bounds: list[int] = []
+    keyed = rows.withColumn("_key", F.coalesce(F.col(key), F.lit(FIRST))).withColumn("_tie", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    total, count = rows.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
+    n = int(max(1, min(count, -(-(total or 0) // partition_bytes))))
+    bounds: list[tuple[int, int]] = []
     if n > 1:
-        at = [i / n for i in range(1, n)]
-        found = df.agg(F.percentile_approx(key, at, max(10_000, 20 * n))).first()[0] or []
-        bounds = sorted(set(found))
-    part = F.lit(0)
-    if bounds:
-        # array_position of a range is not sargable, so the bounds are searched as a sorted array.
-        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if len(bounds) <= 64 else _search(bounds, key)
-    part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(part).cast("int")
-    n = len(bounds) + 1
-    return df.withColumn("_part", part), n
-
-
-def _search(bounds: list[int], key: str) -> Column:
-    """Number of bounds below the key by two levels of comparisons, about twice the root of their number."""
-    step = int(len(bounds) ** 0.5) + 1
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tree = F.lit(0)
-    for k, group in enumerate(groups):
-        inner = F.size(F.filter(F.array(*map(F.lit, group)), lambda b: b < F.col(key))) + k * step
-        tree = inner if k == 0 else F.when(F.col(key) > groups[k - 1][-1], inner).otherwise(tree)
-    return tree
+        sized = keyed.select("_key", "_tie", F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
+        sample = sized.sample(False, min(1.0, SAMPLE_ROWS * n / count), seed).toArrow().sort_by([("_key", "ascending"), ("_tie", "ascending")])
+        weight = np.cumsum(np.asarray(sample["n"]).astype(np.int64) + 1)
+        at = np.searchsorted(weight, weight[-1] * np.arange(1, n) / n) if len(weight) else []
+        bounds = sorted({(sample["_key"][int(i)].as_py(), sample["_tie"][int(i)].as_py()) for i in at})
+    order = Order(bounds)
+    return keyed.withColumn("_part", order.part("_key", "_tie") if bounds else F.lit(0)), order
+
+
+__all__ = ["AtomicFile", "FIRST", "Order", "PARTITION_BYTES", "discard", "materialize", "open_fs", "ordered_parts", "shared_path", "string_buffers", "table", "text_runs"]

@@ -1,15 +1,17 @@
 """Harmonic packing of token documents into sequences of a fixed capacity.
 
-A document is cut into whole sequences and a remainder; the remainder into its binary parts down
-to ``min_piece`` and a tail. A piece of length t belongs to the reciprocal class k = capacity // t,
-and every class fills its own bins with k pieces each, so a bin of an exact part has no padding
-and that of a tail little. Each task fills its bins alone, without any exchange of rows; at its
-end the pieces of unfinished bins, fewer than one bin a class, are packed together, longest first.
+A document longer than the capacity gives whole sequences first; what remains has a length t and belongs to the
+reciprocal class k = capacity // t. Every class fills its own bins with k documents each, whole. The
+gap that such a bin leaves is then given to a later document that fits, the tightest gap first; a
+document is cut over several gaps only where more than ``open_gaps`` of them are open and none
+holds it. Each task fills its bins alone, without any exchange of rows; at its end the documents
+of unfinished classes go to the gaps and then, cut where a sequence ends, one after another.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,88 +20,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import string_buffers
+from .common import string_buffers, text_runs
 from .units import default_tokenizer, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def cut(sizes: np.ndarray, capacity: int, min_piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start and length of every piece of documents of these sizes, in document order."""
-    whole = sizes // capacity
-    rest = sizes - whole * capacity
-    doc = [np.repeat(np.arange(len(sizes)), whole)]
-    first = np.cumsum(whole) - whole
-    start = [(np.arange(len(doc[0])) - np.repeat(first, whole)) * capacity]
-    length = [np.full(len(doc[0]), capacity)]
-    begin = whole * capacity
-    part = capacity // 2
-    while part >= min_piece and part:
-        has = np.flatnonzero(rest & part)
-        doc.append(has)
-        start.append(begin[has])
-        length.append(np.full(len(has), part))
-        begin = begin + (rest & part)
-        part //= 2
-    tail = sizes - begin
-    has = np.flatnonzero(tail)
-    doc.append(has)
-    start.append(begin[has])
-    length.append(tail[has])
-    doc, start, length = map(np.concatenate, (doc, start, length))
-    order = np.lexsort((start, doc))
-    return doc[order], start[order], length[order]
-
-
 class Bins:
-    """Bins of one task. Rows are pieces: the first columns pass through, the third is the length."""
+    """Bins of one task. Placed pieces are tuples (document, start, length, sequence, offset)."""
 
-    def __init__(self, capacity: int, task: int):
-        self.capacity, self.task = capacity, task
-        self.waiting: dict[int, np.ndarray] = {}
+    def __init__(self, capacity: int, task: int = 0, least_gap: int = 8, open_gaps: int = 64):
+        self.capacity, self.task, self.least_gap, self.open_gaps = capacity, task, least_gap, open_gaps
+        self.waiting: dict[int, list[tuple]] = {}
+        self.gaps: list[tuple[int, int]] = []  # (free places at the end, sequence), ascending
+        self.free = 0
         self.made = 0
 
-    def _sequence(self, bins: np.ndarray, n: int) -> np.ndarray:
-        ids = (self.task << 40) + self.made + bins
-        self.made += n
-        return ids
-
-    def add(self, pieces: np.ndarray) -> list[np.ndarray]:
-        """Take pieces (rows, 5); return those of the bins that are now full, with sequence and offset."""
+    def _sequence(self) -> int:
+        self.made += 1
+        return (self.task << 40) + self.made - 1
+
+    def _open(self, sequence: int, gap: int) -> None:
+        """Keep a gap for later; one below ``least_gap``, or the smallest of too many, stays padding."""
+        if gap >= self.least_gap:
+            insort(self.gaps, (gap, sequence))
+            self.free += gap
+            if len(self.gaps) > 4 * self.open_gaps:
+                self.free -= self.gaps.pop(0)[0]
+
+    def _fits(self, document, start: int, n: int) -> list[tuple] | None:
+        """Whole into the tightest gap, or cut over the largest ones if there are many."""
+        i = bisect_left(self.gaps, (n, -1))
+        if i < len(self.gaps):
+            gap, sequence = self.gaps.pop(i)
+            self.free -= gap
+            self._open(sequence, gap - n)
+            return [(document, start, n, sequence, self.capacity - gap)]
+        if len(self.gaps) <= self.open_gaps or self.free < n:
+            return None
+        return self._spread(document, start, n)
+
+    def _spread(self, document, start: int, n: int) -> list[tuple]:
         out = []
-        kind = self.capacity // pieces[:, 2]
-        order = np.argsort(kind, kind="stable")
-        pieces, kind = pieces[order], kind[order]
-        bounds = np.flatnonzero(np.diff(kind)) + 1
-        for part in np.split(pieces, bounds) if len(pieces) else []:
-            k = int(self.capacity // part[0, 2])
-            if k in self.waiting:
-                part = np.concatenate((self.waiting.pop(k), part))
-            full = len(part) // k
-            if len(part) > full * k:
-                self.waiting[k] = part[full * k :]
-            if full:
-                part = part[: full * k]
-                length = part[:, 2].reshape(full, k)
-                offset = (np.cumsum(length, axis=1) - length).ravel()
-                out.append(np.column_stack((part, self._sequence(np.repeat(np.arange(full), k), full), offset)))
+        while n and self.gaps:
+            gap, sequence = self.gaps.pop()
+            self.free -= gap
+            take = min(gap, n)
+            out.append((document, start, take, sequence, self.capacity - gap))
+            self._open(sequence, gap - take)
+            start, n = start + take, n - take
+        return out
+
+    def add(self, document, size: int) -> list[tuple]:
+        """Take a document; return the pieces that are now placed."""
+        out, start = [], 0
+        while size - start >= self.capacity:
+            out.append((document, start, self.capacity, self._sequence(), 0))
+            start += self.capacity
+        n = size - start
+        if not n:
+            return out
+        placed = self._fits(document, start, n)
+        if placed is not None:
+            return out + placed
+        k = self.capacity // n
+        members = self.waiting.setdefault(k, [])
+        members.append((document, start, n))
+        if len(members) == k:
+            del self.waiting[k]
+            sequence, at = self._sequence(), 0
+            for name, begin, length in members:
+                out.append((name, begin, length, sequence, at))
+                at += length
+            self._open(sequence, self.capacity - at)
         return out
 
-    def finish(self) -> list[np.ndarray]:
-        if not self.waiting:
-            return []
-        left = np.concatenate([self.waiting[k] for k in sorted(self.waiting)])
-        left = left[np.argsort(-left[:, 2], kind="stable")]
-        bins, offsets, fill, n = [], [], 0, 0
-        for t in left[:, 2].tolist():
-            if fill + t > self.capacity:
-                n, fill = n + 1, 0
-            bins.append(n)
-            offsets.append(fill)
-            fill += t
+    def finish(self) -> list[tuple]:
+        """Place what waits: into gaps, then one after another."""
+        out, sequence, at = [], 0, self.capacity
+        for document, start, n in sorted((m for ms in self.waiting.values() for m in ms), key=lambda m: -m[2]):
+            i = bisect_left(self.gaps, (n, -1))
+            if i < len(self.gaps):
+                out += self._fits(document, start, n)
+                continue
+            while n:
+                if at == self.capacity:
+                    if self.gaps and self.free >= n:
+                        out += self._spread(document, start, n)
+                        break
+                    sequence, at = self._sequence(), 0
+                take = min(n, self.capacity - at)
+                out.append((document, start, take, sequence, at))
+                start, n, at = start + take, n - take, at + take
         self.waiting = {}
-        return [np.column_stack((left, self._sequence(np.array(bins), n + 1), offsets))]
+        return out
 
 
 def pack_documents(
@@ -109,57 +124,47 @@ def pack_documents(
     tokenizer: str | None = None,
     capacity: int = 2048,
     end_id: int = 1,
-    min_piece: int = 128,
+    least_gap: int = 8,
+    open_gaps: int = 64,
 ) -> DataFrame:
     """One row a piece: its document's id, place in the document, checksum, sequence and offset there.
 
-    ``capacity`` is a power of two. A null text packs as an empty one, so its document is the end
-    id alone; repeated rows are documents of their own; a null id stays null; an empty table gives
-    an empty result; other columns are ignored. Sequence ids are unique, not gapless.
+    A null text packs as an empty one, so its document is the end id alone; repeated rows are
+    documents of their own; a null id stays null; a very long text gives many whole sequences; an empty
+    table gives an empty result; other columns are ignored. Sequence ids are unique, not gapless. A
+    task holds at most ``capacity`` ids a class that waits, and one batch of texts.
     """
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = Bins(capacity, TaskContext.get().partitionId())
+        bins = Bins(capacity, TaskContext.get().partitionId(), least_gap, open_gaps)
         encode = encoder(path).encode
+        end = np.array([end_id], "<u4").tobytes()
+        held: list[tuple] = []
 
-        def rows(parts: list[np.ndarray], known: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-            if parts:
-                table = np.concatenate(parts)
-                columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(8)]
-                columns[0] = pa.array(columns[0].to_numpy(), mask=table[:, 5] == 1)
-                yield pa.RecordBatch.from_arrays([*columns[:5], *columns[6:]], schema=_ARROW)
+        def out() -> pa.RecordBatch:
+            rows = [(key, start, n, zlib.crc32(ids[start * 4 : (start + n) * 4]), len(ids) // 4, sequence, offset) for (key, ids), start, n, sequence, offset in held]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
 
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
-            for a, b in _runs(offsets, 8 << 20):
+            keys = batch.column(0).to_pylist()
+            for a, b in text_runs(offsets, 8 << 20):
                 ids, sizes = encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                begin = np.cumsum(sizes) - sizes
-                doc, start, length = cut(sizes + 1, capacity, min_piece)
-                data = memoryview(ids.astype("<u4")).cast("B")
-                end = np.array([end_id], "<u4").tobytes()
-                crc = np.empty(len(doc), np.int64)
-                at = begin[doc] + start
-                last = start + length > sizes[doc]  # holds the end id
-                for i, (s, n, e) in enumerate(zip((at * 4).tolist(), ((length - last) * 4).tolist(), last.tolist())):
-                    x = zlib.crc32(data[s : s + n])
-                    crc[i] = zlib.crc32(end, x) if e else x
-                key = batch.column(0).slice(a, b - a)
-                null = np.asarray(key.is_null()).astype(np.int64)
-                key = np.asarray(key.fill_null(0)).astype(np.int64)
-                pieces = np.column_stack((key[doc], start, length, crc, (sizes + 1)[doc], null[doc]))
-                yield from rows(bins.add(pieces))
-        yield from rows(bins.finish())
+                data = ids.astype("<u4").tobytes()
+                at = 0
+                for key, n in zip(keys[a:b], sizes.tolist()):
+                    held += bins.add((key, data[at : at + 4 * n] + end), n + 1)
+                    at += 4 * n
+                    if len(held) >= 8192:
+                        yield out()
+                if held:
+                    yield out()
+        held += bins.finish()
+        if held:
+            yield out()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
-
-
-def _runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` bytes, one text at least."""
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
-        yield a, b
-        a = b

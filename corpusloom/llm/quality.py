@@ -1,8 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, pairs of neighbouring words (a pair of equal ones counts twice:
-as that pair and as any such pair), and the character n-grams (3 to 5, with word bounds) of its
-words, each hashed to a bucket with a learned vector. The vectors are
+A document's features are its words, pairs of neighbouring words, and the character n-grams (3 to 5,
+with word bounds) of its words, each hashed to a bucket with a learned vector. The vectors are
 averaged over the document, and a softmax over a linear map gives the classes. Buckets and map are
 trained together by plain stochastic gradient descent in numpy, on a bounded sample of labelled rows.
 
@@ -20,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import string_buffers
-from .packing import _runs
+from .common import string_buffers, text_runs
 from .units import HashIndex, grown, hash_spans, worker_store
 
 BITS = 18
-_TWICE = 1  # the bucket of any pair of equal words
+#: Passes over the training rows, the same for any number of them.
+EPOCHS = 12
+#: Labelled rows that the model is fitted on at most, and bytes of their texts.
+TRAINING_ROWS, TRAINING_BYTES = 4000, 64 << 20
 _U = np.uint64
 _SEEDS = [_U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F)]
 _SPACE = np.zeros(256, bool)
@@ -77,9 +78,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     data = raw.tobytes()
     word, gram = _ngrams([data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]) if len(starts) else (np.zeros(0, np.int64),) * 2
     same = np.flatnonzero(doc[1:] == doc[:-1])
-    twice = same[h[same] == h[same + 1]]
-    docs = np.concatenate((doc, doc[word], doc[same], doc[twice]))
-    buckets = np.concatenate((_bucket(h, 0), gram, _pairs(h, same), np.full(len(twice), _TWICE)))
+    docs = np.concatenate((doc, doc[word], doc[same]))
+    buckets = np.concatenate((_bucket(h, 0), gram, _pairs(h, same)))
     order = np.argsort(docs, kind="stable")
     return docs[order], buckets[order]
 
@@ -97,8 +97,8 @@ class Model:
     bias: np.ndarray
 
 
-def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epochs: int = 6, rate: float = 10.0, batch: int = 8, seed: int = 11, least_updates: int = 8000) -> Model:
-    """Fit on whole texts, in more epochs (60 at most) where rows are fewer than fill ``least_updates``.
+def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epochs: int = EPOCHS, rate: float = 10.0, batch: int = 8, seed: int = 11) -> Model:
+    """Fit on whole texts in a fixed number of epochs.
 
     Without rows the model is indifferent; with one class it is sure."""
     classes = tuple(sorted(set(labels))) or (0, 1)
@@ -120,7 +120,6 @@ def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epo
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (1 << BITS, dimensions)).astype(np.float32)
     out = np.zeros((dimensions, k), np.float32)
     bias = np.log(np.maximum(np.bincount(y, minlength=k), 1) / max(1, len(y))).astype(np.float32)
-    epochs = max(epochs, min(60, -(-least_updates // max(1, len(rows)))))
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -173,23 +172,26 @@ class Scorer:
             for c in range(self.sums.shape[1]):
                 self.sums[lo:hi, c] = np.bincount(word, self.model.weights[gram, c], len(fresh)) + self.model.weights[_bucket(fresh, 0), c]
             self.counts[lo:hi] = np.bincount(word, minlength=len(fresh)) + 1
-            self.index.add(fresh)
+            self.index.add(fresh, np.arange(lo, hi, dtype=np.int32))
             places[missing] = self.index.find(h[missing])
         same = np.flatnonzero(doc[1:] == doc[:-1])
-        pairs, twice = _pairs(h, same), np.bincount(doc[same[h[same] == h[same + 1]]], minlength=n)
-        total = np.bincount(doc, self.counts[places], n) + np.bincount(doc[same], minlength=n) + twice
+        pairs = _pairs(h, same)
+        total = np.bincount(doc, self.counts[places], n) + np.bincount(doc[same], minlength=n)
         weights = self.model.weights
-        logit = [(np.bincount(doc, self.sums[places, c], n) + np.bincount(doc[same], weights[pairs, c], n) + twice * weights[_TWICE, c]) / np.maximum(total, 1) for c in range(weights.shape[1])]
+        logit = [(np.bincount(doc, self.sums[places, c], n) + np.bincount(doc[same], weights[pairs, c], n)) / np.maximum(total, 1) for c in range(weights.shape[1])]
         return np.column_stack(logit) + self.model.bias
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", positive: int = 1, keep: bool = False) -> DataFrame:
-    """Probability of the class ``positive`` as ``score``, beside the id, or all columns with ``keep``.
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", positive: int = 1, keep: bool = False, score_col: str = "score") -> DataFrame:
+    """Probability of the class ``positive`` as ``score_col``, beside the id, or all columns with ``keep``.
 
     Only the text decides. A null, empty or blank text gets the bias alone, the share of the class
-    among the training rows; repeated rows get equal scores; a model without the class gives 0, one
-    with no other class 1, and one of no rows 0.5.
+    among the training rows; very long texts count whole; repeated rows get equal scores; a model
+    without the class gives 0, one with no other class 1, and one of no rows 0.5; an empty table gives
+    no rows. With ``keep``, ``score_col`` may not be a column of ``docs``, in any letter case.
     """
+    if keep and score_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {score_col!r}: name another one for the score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(column: pa.Array) -> np.ndarray:
@@ -197,7 +199,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         scorer = worker_store(("scorer", id(m)), lambda: Scorer(m))
         raw, offsets = string_buffers(column)
         out = []
-        for a, b in _runs(offsets, 2 << 20):
+        for a, b in text_runs(offsets, 2 << 20):
             z = scorer.logits(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -209,7 +211,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         return pa.array(scores(text), pa.float64())
 
     value = score(F.col(text_col).cast("string"))
-    return docs.withColumn("score", value) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), value.alias("score"))
+    return docs.withColumn(score_col, value) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), value.alias(score_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -217,16 +219,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, **options) -> Model:
-    """Train on at most ``max_rows`` labelled rows that aren't held out, chosen by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAINING_ROWS, max_bytes: int = TRAINING_BYTES) -> list[tuple[int, str, int]]:
+    """Id, text and label of the rows to learn from: not held out, at most ``max_rows`` by a hash of the id.
 
-    The bound holds for any input: each task sends its own first rows only, and the texts of the
-    chosen ids, whole, come to the driver.
+    Of these, in the order of the hash, all texts that fit into ``max_bytes`` together, whole; a text that
+    doesn't is passed over. Of several texts of one id the smallest counts, and each of its labels. The
+    bounds hold for any input: tasks send their own first rows only, then sizes, then the chosen texts.
     """
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
-    ids = {}
+    spark = docs.sparkSession
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
+    order: dict[int, list[int]] = {}
     for row in chosen.collect():
-        ids.setdefault(row["_id"], []).append(row["_label"])
-    texts = docs.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).dropDuplicates(["_id"]).collect() if ids else []
-    rows = sorted(((r["_id"], r["_text"], label) for r in texts for label in ids[r["_id"]]), key=lambda x: x[::2])
+        order.setdefault(row["_id"], []).append(row["_label"])
+    if not order:
+        return []
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    wanted = lambda ids: texts.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "_id long")), "_id")
+    sizes = {r["_id"]: r["n"] for r in wanted(order).groupBy("_id").agg(F.max(F.octet_length("_text")).alias("n")).collect()}
+    ids, used = [], 0
+    for i in order:
+        if i in sizes and used + sizes[i] <= max_bytes:
+            ids.append(i)
+            used += sizes[i]
+    found = {r["_id"]: r["_text"] for r in wanted(ids).groupBy("_id").agg(F.min("_text").alias("_text")).collect()} if ids else {}
+    return sorted((i, found[i], label) for i in ids for label in order[i])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAINING_ROWS, max_bytes: int = TRAINING_BYTES, **options) -> Model:
+    """Train on a bounded number of labelled rows (see ``training_rows``), in numpy on the driver."""
+    rows = training_rows(docs, labels, label_col, id_col, text_col, max_rows, max_bytes)
     return train([t for _, t, _ in rows], [y for _, _, y in rows], **options)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arc_warc, bag_minhash, bloom_lookup, licenses, mixing, packing, quality, reply_trees, token_files, vp_tree
-from .common import shared_path, table
+from .common import materialize, shared_path, table
+
 
 def op2_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -29,7 +30,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in PROBE))).alias("m")).select("m.*")
-    nodes = reply_trees.chains(said.unionByName(probe), "conv_id", "turn", "role", "text")
+    nodes = materialize(reply_trees.chains(said.unionByName(probe), "conv_id", "turn", "role", "text"), "reply-nodes")
     paths = reply_trees.reply_paths(nodes, top_k=1)
     return reply_trees.conversation_report(reply_trees.format_paths(nodes, paths))
 
@@ -38,7 +39,7 @@ MIX = {"fraction": 0.5, "max_epochs": 3, "seed": 7}
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     levels = mixing.production_levels()
     mixed = mixing.mix_sources(docs.withColumn("n_tokens", mixing.word_tokens(F.col("text"))), levels, mixing.WEIGHTS, tokens=F.col("n_tokens"), **MIX)
     return mixed.select("doc_id", "epoch", levels["domain"].alias("domain"), "lang", "source", "n_tokens")

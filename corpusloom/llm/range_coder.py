@@ -1,17 +1,21 @@
 """Binary token files: an adaptive context-mixing range coder over token ids.
 
-Ids are coded in blocks, each from a reset state and with its own checksum. For every id three
-predictors speak: the id that last followed the two before it (order 2), the id that last
-followed the one before it (order 1), and the id frequencies of the segment (order 0). Adaptive
-weights, chosen by how sure the first two are and whether they agree, mix them into one
-distribution, and a carryless range coder of 64 bits codes the id under it in one step.
+Ids are coded in blocks of ``BLOCK``, each from a reset state and with its own checksum. For every id
+these predictors speak: the id that last followed the two before it (order 2), the id that last
+followed the one before it (order 1), and, for order 0, the ids that the block has had of late, over a
+floor of the segment's id frequencies, which its header holds. Adaptive weights, chosen by how
+sure the first two are and whether they agree, mix them into one distribution, and a carryless range
+coder of 64 bits codes the id under it in one step. The block's recent ids lie in a table of
+``1 << _RECENT`` places by hash; what share of order 0 they get adapts from a reset too.
 
 All blocks of a segment are coded side by side, one numpy lane each, so a step costs the same few
-array operations however many blocks there are.
+array operations however many blocks there are. A segment of more distinct ids than the floor can
+tell apart is stored with a deflated plain block each, by the same checksums.
 
-File: ``MAGIC``, then segments. Segment: a header of eight longs (documents, ids, block length,
-blocks, and the lengths of the four parts), then the parts, compressed with zlib but for the last: document
-ids and sizes; order-0 ids and frequencies; words and checksum of each block; the coded words.
+File: ``MAGIC``, then segments. Segment: a header of eight longs (documents, ids, bits of the floor or 0
+for stored blocks, blocks, and the lengths of the four parts), then the parts, compressed with zlib but for
+the last: document ids and sizes; ids of the floor and frequencies; words and checksum of each block;
+the coded words.
 """
 
 from __future__ import annotations
@@ -22,61 +26,73 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"CLIDS\x01\n\0"
+MAGIC = b"CLIDS\x02\n\0"
+#: Ids of a block.
+BLOCK = 2048
 _HEAD = struct.Struct("<8q")
-_ZERO_BITS, _MIX_BITS = 18, 12
-_ALL_BITS = np.uint64(_ZERO_BITS + _MIX_BITS)
-_ONE, _TWO = 1 << 10, 1 << 12
+_MIX_BITS = 12
+_FLOOR_BITS, _MOST_FLOOR_BITS = 18, 20
+_ONE, _TWO, _RECENT = 1 << 10, 1 << 11, 8
 _U = np.uint64
 _32, _LOW32 = _U(32), _U(0xFFFFFFFF)
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Present ids and their order-0 frequencies, at least 1 each, of sum 2 ** 18."""
+def floor_bits(distinct: int) -> int:
+    """Bits of the floor's frequencies, or 0 where there are too many distinct ids for it."""
+    bits = max(_FLOOR_BITS, (2 * distinct - 1).bit_length())
+    return bits if bits <= _MOST_FLOOR_BITS else 0
+
+
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Present ids, their frequencies, at least 1 each, of sum 2 ** bits, and bits."""
     count = np.bincount(ids)
     present = np.flatnonzero(count)
-    total = 1 << _ZERO_BITS
-    if len(present) > total // 2:
-        raise ValueError(f"a segment may hold {total // 2} distinct ids")
+    bits = floor_bits(len(present))
+    if not bits:
+        return present, count[present], 0
+    total = 1 << bits
     count = count[present].astype(np.float64)
     share = np.floor(count / count.sum() * (total - len(present))).astype(np.int64) + 1
     share[np.argmax(share)] += total - share.sum()
-    return present, share
+    return present, share, bits
 
 
-def _run(n: int, block: int, order0: tuple[np.ndarray, np.ndarray], ids: np.ndarray | None, words: np.ndarray | None, firsts: np.ndarray | None):
+def _run(n: int, floor: tuple[np.ndarray, np.ndarray, int], ids: np.ndarray | None, words: np.ndarray | None, firsts: np.ndarray | None):
     """Code ``ids``, or decode them from ``words``; the model is the same code for both."""
-    lanes = -(-n // block)
-    last = n - (lanes - 1) * block
-    present, share = order0
+    present, share, bits = floor
+    lanes = -(-n // BLOCK)
+    last = n - (lanes - 1) * BLOCK
     stop = np.cumsum(share)
     size = int(present[-1]) + 1
     start_of, share_of = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
     start_of[present], share_of[present] = stop - share, share
+    bits_, all_bits = _U(bits), _U(bits + _MIX_BITS)
+    cell = _U(bits - _RECENT)  # a recent id has 1 / 2 ** _RECENT of what the recent ones have
     decoding = ids is None
     if decoding:
-        slots = np.repeat(present.astype(np.int64), share)
+        slots = np.repeat(present.astype(np.int32), share)
         words = np.concatenate((words, np.zeros(4, np.uint32))).astype(np.uint64)
         at = firsts.astype(np.int64)
         code = (words[at] << _32) | words[at + 1]
         at = at + 2
-        out = np.zeros((block, lanes), np.int64)
+        out = np.zeros((BLOCK, lanes), np.int32)
     else:
-        grid = np.zeros((lanes, block), np.int64)
+        grid = np.zeros((lanes, BLOCK), np.int32)
         grid.ravel()[:n] = ids
         grid = np.ascontiguousarray(grid.T)
-        coded = np.zeros((lanes, block + 2), np.uint32)
+        coded = np.zeros((lanes, BLOCK + 2), np.uint32)
         at = np.zeros(lanes, np.int64)
     row = np.arange(lanes, dtype=np.int64)
-    one, two = np.full(lanes * _ONE, -4, np.int64), np.full(lanes * _TWO, -4, np.int64)
-    sure1, sure2 = np.full(lanes * 32, 16384, np.int64), np.full(lanes * 32, 32768, np.int64)
+    one, two = np.full(lanes * _ONE, -4, np.int32), np.full(lanes * _TWO, -4, np.int32)
+    recent = np.full(lanes << _RECENT, -1, np.int32)
+    sure1, sure2, sure0 = np.full(lanes * 32, 16384, np.int32), np.full(lanes * 32, 32768, np.int32), np.full(lanes, 16384, np.int32)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     b1, b2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    row1, row2, row32 = row * _ONE, row * _TWO, row * 32
-    for t in range(block):
+    row1, row2, row32, row0 = row * _ONE, row * _TWO, row * 32, row << _RECENT
+    for t in range(min(BLOCK, n)):
         if t == last and lanes > 1:  # the last block ends
             lanes -= 1
-            row, row1, row2, row32, b1, b2 = (x[:lanes] for x in (row, row1, row2, row32, b1, b2))
+            row1, row2, row32, row0, b1, b2, sure0 = (x[:lanes] for x in (row1, row2, row32, row0, b1, b2, sure0))
             if decoding:
                 code = code[:lanes]
                 at = at[:lanes]
@@ -84,8 +100,6 @@ def _run(n: int, block: int, order0: tuple[np.ndarray, np.ndarray], ids: np.ndar
                 final = low[lanes:].copy(), at[lanes:].copy()
                 at = at[:lanes]
             low, span = low[:lanes], span[:lanes]
-        elif t == last:
-            break
         h1 = ((b1 * 40503) >> 3) & (_ONE - 1)
         h1 += row1
         h2 = ((b1 * 0x9E3779B1 + b2 * 0x85EBCA6B) >> 15) & (_TWO - 1)
@@ -93,33 +107,50 @@ def _run(n: int, block: int, order0: tuple[np.ndarray, np.ndarray], ids: np.ndar
         e1, e2 = one[h1], two[h2]
         p1, p2 = e1 >> 2, e2 >> 2
         s1, s2 = e1 & 3, e2 & 3
-        kind = ((s2 << 3) | (s1 << 1)) + (p1 == p2)
-        kind += row32
+        kind = ((s2 << 3) | (s1 << 1)) + (p1 == p2) + row32
         a1, a2 = sure1[kind], sure2[kind]
         q2 = 16 + ((a2 * 3900) >> 16)
         q1 = 8 + ((a1 * (3968 - q2)) >> 16)
         q12 = q1 + q2
-        q0 = (4096 - q12).astype(np.uint64)
-        part = span >> _ALL_BITS
+        q0 = 4096 - q12
+        qr = 1 + ((q0 * (1024 + sure0 - (sure0 >> 3))) >> 16)  # of order 0, from 1/64 to 8/9 to the recent ids
+        qf = (q0 - qr).astype(np.uint64)
+        part = span >> all_bits
         if decoding:
             v = ((code - low) // part).astype(np.int64)
-            np.minimum(v, (1 << 30) - 1, out=v)
-            w = v >> _ZERO_BITS
+            np.minimum(v, (1 << bits + _MIX_BITS) - 1, out=v)
+            w = v >> bits
             hit2 = w < q2
             hit1 = (w < q12) & ~hit2
-            x = np.maximum(v - (q12 << _ZERO_BITS), 0).astype(np.uint64) // q0
-            now = slots[np.minimum(x, _U((1 << _ZERO_BITS) - 1)).astype(np.int64)]
+            hitr = (w >= q12) & (w < q12 + qr)
+            x = np.maximum(v - ((q12 + qr).astype(np.int64) << bits), 0).astype(np.uint64) // qf
+            now = slots[np.minimum(x, _U((1 << bits) - 1)).astype(np.int64)]
+            g = np.flatnonzero(hitr)
+            place = ((v[g] - (q12[g].astype(np.int64) << bits)) >> (bits - _RECENT)) // np.maximum(qr[g], 1)
+            now[g] = recent[row0[g] + np.minimum(place, (1 << _RECENT) - 1)]
             now = np.where(hit2, p2, np.where(hit1, p1, now))
+            now = np.where((now < 0) | (now >= size), present[0], now).astype(np.int32)  # in a damaged stream
             out[t, :lanes] = now
+            spot = ((now.astype(np.int64) * 0x9E3779B1) >> 12) & ((1 << _RECENT) - 1)
         else:
             now = grid[t, :lanes]
             hit2 = now == p2
             hit1 = (now == p1) & ~hit2
-        begin = np.where(hit2, 0, np.where(hit1, q2, q12)).astype(np.uint64) << _U(_ZERO_BITS)
-        width = np.where(hit2, q2, q1).astype(np.uint64) << _U(_ZERO_BITS)
-        zero = ~(hit1 | hit2)
-        begin += np.where(zero, start_of[now] * q0, _U(0))
-        width = np.where(zero, share_of[now] * q0, width)
+            spot = ((now.astype(np.int64) * 0x9E3779B1) >> 12) & ((1 << _RECENT) - 1)
+            # a recent id is coded as such where that takes fewer bits than the floor
+            hitr = (recent[row0 + spot] == now) & ~(hit1 | hit2)
+            g = np.flatnonzero(hitr)
+            hitr[g] = (qr[g].astype(np.uint64) << cell) > share_of[now[g]] * qf[g]
+        begin = np.where(hit2, 0, np.where(hit1, q2, q12)).astype(np.uint64) << bits_
+        width = np.where(hit2, q2, q1).astype(np.uint64) << bits_
+        zero = np.flatnonzero(~(hit1 | hit2 | hitr))
+        own = now[zero]
+        begin[zero] += (qr[zero].astype(np.uint64) << bits_) + start_of[own] * qf[zero]
+        width[zero] = share_of[own] * qf[zero]
+        near = np.flatnonzero(hitr)
+        each = qr[near].astype(np.uint64) << cell
+        begin[near] += each * spot[near].astype(np.uint64)
+        width[near] = each
         low = low + part * begin
         span = part * width
         same = ((low ^ (low + span - _U(1))) >> _32) == 0
@@ -136,11 +167,14 @@ def _run(n: int, block: int, order0: tuple[np.ndarray, np.ndarray], ids: np.ndar
             low[go] = bound << _32
             span[go] = left << _32
         # what each predictor learns: its weight, then its confidence or its new id
-        sure2[kind] = a2 + (((hit2 * 65535) - a2) >> 4)
-        sure1[kind] = a1 + (((hit1 * 65535) - a1) >> 4)
+        sure2[kind] = a2 + (((hit2 * np.int32(65535)) - a2) >> 4)
+        sure1[kind] = a1 + (((hit1 * np.int32(65535)) - a1) >> 4)
+        sure0[zero] -= sure0[zero] >> 4
+        sure0[near] += (65535 - sure0[near]) >> 4
         one[h1] = np.where(now == p1, (p1 << 2) | np.minimum(s1 + 1, 3), np.where(s1 == 0, now << 2, e1 - 1))
         two[h2] = np.where(hit2, (p2 << 2) | np.minimum(s2 + 1, 3), np.where(s2 == 0, now << 2, e2 - 1))
-        b2, b1 = b1, now
+        recent[row0 + spot] = now
+        b2, b1 = b1, now.astype(np.int64)
     if decoding:
         return np.ascontiguousarray(out.T).ravel()[:n]
     if len(low) < len(coded):
@@ -151,26 +185,26 @@ def _run(n: int, block: int, order0: tuple[np.ndarray, np.ndarray], ids: np.ndar
     return [coded[i, : k + 2] for i, k in enumerate(at.tolist())]
 
 
-def block_length(n: int) -> int:
-    """Blocks grow with the segment, so that enough of them run side by side."""
-    return int(min(4096, max(256, 1 << max(0, (n // 1024)).bit_length())))
-
-
 def encode_segment(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment of whole documents; ``ids`` are those of all documents in order."""
     n = len(ids)
-    block = block_length(n)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), 1)
     if n == 0:
-        return _HEAD.pack(len(doc_ids), 0, block, 0, len(docs), 0, 0, 0) + docs
-    order0 = frequencies(ids)
-    streams = _run(n, block, order0, ids, None, None)
-    model = zlib.compress(np.diff(order0[0], prepend=0).astype("<u4").tobytes() + order0[1].astype("<u4").tobytes(), 1)
+        return _HEAD.pack(len(doc_ids), 0, 0, 0, len(docs), 0, 0, 0) + docs
+    floor = frequencies(ids)
     plain = memoryview(ids.astype("<u4")).cast("B")
-    sums = [zlib.crc32(plain[i * block * 4 : (i + 1) * block * 4]) for i in range(len(streams))]
-    index = zlib.compress(np.array([len(x) for x in streams], "<u4").tobytes() + np.array(sums, "<u4").tobytes(), 1)
-    body = np.concatenate(streams).astype("<u4").tobytes()
-    return b"".join((_HEAD.pack(len(doc_ids), n, block, len(streams), len(docs), len(model), len(index), len(body)), docs, model, index, body))
+    blocks = [plain[i : i + BLOCK * 4] for i in range(0, n * 4, BLOCK * 4)]
+    sums = [zlib.crc32(b) for b in blocks]
+    if floor[2]:
+        streams = _run(n, floor, ids, None, None)
+        model = zlib.compress(np.diff(floor[0], prepend=0).astype("<u4").tobytes() + floor[1].astype("<u4").tobytes(), 1)
+        lengths = [len(x) for x in streams]
+        body = np.concatenate(streams).astype("<u4").tobytes()
+    else:
+        stored = [zlib.compress(b, 6) for b in blocks]
+        model, lengths, body = b"", [len(x) for x in stored], b"".join(stored)
+    index = zlib.compress(np.array(lengths, "<u4").tobytes() + np.array(sums, "<u4").tobytes(), 1)
+    return b"".join((_HEAD.pack(len(doc_ids), n, floor[2], len(sums), len(docs), len(model), len(index), len(body)), docs, model, index, body))
 
 
 def decode_segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -180,20 +214,27 @@ def decode_segments(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     while head := stream.read(_HEAD.size):
         if len(head) < _HEAD.size:
             raise ValueError("the file ends within a segment")
-        n_docs, n, block, blocks, *lengths = _HEAD.unpack(head)
+        n_docs, n, bits, blocks, *lengths = _HEAD.unpack(head)
         docs, model, index, body = (stream.read(k) for k in lengths)
         if len(body) < lengths[3]:
             raise ValueError("the file ends within a segment")
         docs = np.frombuffer(zlib.decompress(docs), "<i8")
         if n == 0:
-            yield docs[:n_docs], docs[n_docs:], np.zeros(0, np.int64)
+            yield docs[:n_docs], docs[n_docs:], np.zeros(0, np.int32)
             continue
-        model = np.frombuffer(zlib.decompress(model), "<u4").astype(np.int64)
-        half = len(model) // 2
         size, sums = np.frombuffer(zlib.decompress(index), "<u4").reshape(2, blocks).astype(np.int64)
-        ids = _run(n, block, (np.cumsum(model[:half]), model[half:]), None, np.frombuffer(body, "<u4"), np.cumsum(size) - size)
+        if bits:
+            model = np.frombuffer(zlib.decompress(model), "<u4").astype(np.int64)
+            half = len(model) // 2
+            ids = _run(n, (np.cumsum(model[:half]), model[half:], bits), None, np.frombuffer(body, "<u4"), np.cumsum(size) - size)
+        else:
+            at = [0, *np.cumsum(size).tolist()]
+            try:
+                ids = np.frombuffer(b"".join(zlib.decompress(body[a:b]) for a, b in zip(at, at[1:])), "<u4").astype(np.int64)
+            except zlib.error as error:
+                raise ValueError(f"a stored block is damaged: {error}") from None
         plain = memoryview(ids.astype("<u4")).cast("B")
         for i, x in enumerate(sums.tolist()):
-            if zlib.crc32(plain[i * block * 4 : (i + 1) * block * 4]) != x:
+            if zlib.crc32(plain[i * BLOCK * 4 : (i + 1) * BLOCK * 4]) != x:
                 raise ValueError(f"block {i} of a segment is damaged")
         yield docs[:n_docs], docs[n_docs:], ids

@@ -1,8 +1,9 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
 Messages name their parent. Self-joins that double the reach find every message's root, depth and
-score sum in log2(depth) rounds; leaves are ranked by the mean score of their path, and the paths
-of the chosen ones are listed by joins over the same doubled links. Each path is one conversation.
+score sum in log2(depth) rounds, each over those that haven't reached their root; leaves are ranked by
+the mean score of their path, and the paths of the chosen ones are listed by joins over the same
+doubled links. Each path is one conversation, and so one string in one task.
 
 Template: a turn is ``<s>``, a role mark, the text and ``</s>``. Marks: ``[INST] `` user, ``[/INST] ``
 assistant, ``<<SYS>> `` system, ``[ROLE:hex] `` any other. In texts a backslash is doubled, and one is
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 _OPENER = r"([<\[])(?=/?s>|/?INST\]|</?SYS>>|ROLE:)"
 _MARKS = {"user": "[INST] ", "assistant": "[/INST] ", "system": "<<SYS>> "}
@@ -40,11 +41,11 @@ def mark(role: Column) -> Column:
 def chains(messages: DataFrame, tree: str, order: str, role: str, text: str) -> DataFrame:
     """Turns in order as a tree without branches: each message's parent is the one before it.
 
-    Rows of an equal ``order`` are told apart by role, then text; a null role or text is empty, and rows
-    without a tree are one tree, whose id is the least long.
+    Rows of an equal ``order`` are told apart by role, then text; a null role or text is empty, rows
+    without a tree are one tree, without an id; other columns are ignored, an empty table has no tree.
     """
     rows = messages.select(
-        F.coalesce(F.col(tree).cast("long"), F.lit(-(1 << 63))).alias("tree"),
+        F.col(tree).cast("long").alias("tree"),
         F.col(order).alias("_order"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
@@ -56,37 +57,37 @@ def chains(messages: DataFrame, tree: str, order: str, role: str, text: str) ->
 def reply_paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
     """The ``top_k`` best root-to-leaf paths of each tree: tree, leaf, rank, path_score, node, pos.
 
-    ``nodes`` has tree, node, parent, score; (tree, node) is unique. A parent that isn't there makes a
-    root; messages on a cycle have no root and are on no path; a null score counts 0; equal scores
-    rank by leaf. ``pos`` counts from 0 at the root.
+    ``nodes`` has tree, node, parent, score; (tree, node) is unique, a null tree is a tree like others. A
+    parent that isn't there makes a root; messages on a cycle have no root and are on no path; a null
+    score counts 0; equal scores rank by leaf. ``pos`` counts from 0 at the root. No rows give no rows.
     """
-    tree, node, anc = F.col("tree"), F.col("node"), F.col("anc")
-    narrow = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    there = narrow.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    step = narrow.join(there, ["tree", "parent"], "left").select(tree, node, F.when(F.col("there"), F.col("parent")).alias("anc"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len"))
-    leaves = narrow.join(narrow.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    # links[k] reaches 2 ** k messages up; sum and len are those of the messages passed on the way
-    links = [materialize(step, "tree-links")]
-    most = links[0].count()
-    while (1 << len(links) - 1) <= most and not links[-1].where("anc IS NOT NULL").isEmpty():
+    own = F.struct("tree")  # structs of nulls are equal, so a null tree joins
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    narrow = materialize(nodes.select(own.alias("_t"), "node", "parent", score.alias("score")), "tree-nodes")
+    most = narrow.count()
+    leaves = narrow.select("_t", F.col("node").alias("leaf")).join(narrow.select("_t", F.col("parent").alias("leaf")).where("leaf IS NOT NULL"), ["_t", "leaf"], "left_anti")
+    # links[k] reaches 2 ** k messages up; sum and len are those of the messages passed on the way.
+    # done holds the messages whose way ends at a root.
+    links = [narrow.where("parent IS NOT NULL").select("_t", "node", F.col("parent").alias("anc"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len"))]
+    done = narrow.where("parent IS NULL").select("_t", "node", F.col("score").alias("sum"), F.lit(1).cast("long").alias("len"))
+    while (1 << len(links) - 1) <= most and not links[-1].isEmpty():
         here = links[-1]
-        up = here.select(tree, node.alias("anc"), anc.alias("anc2"), F.col("sum").alias("sum2"), F.col("len").alias("len2"))
-        links.append(
-            materialize(
-                here.join(up, ["tree", "anc"], "left").select(
-                    tree, node, F.col("anc2").alias("anc"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len")
-                ),
-                "tree-links",
-            )
-        )
-    whole = links[-1].where("anc IS NULL").select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("len")).alias("path_score"), F.col("len"))
-    ranked = leaves.join(whole, ["tree", "leaf"]).withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))).where(F.col("rank") <= top_k)
-    paths = ranked.select("tree", "leaf", "rank", "path_score", (F.col("len") - 1).alias("pos"), F.col("leaf").alias("node"))
-    for k in range(len(links) - 2, -1, -1):
-        up = links[k].where("anc IS NOT NULL").select("tree", "node", "anc")
-        above = paths.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "path_score", (F.col("pos") - (1 << k)).alias("pos"), F.col("anc").alias("node"))
-        paths = materialize(paths.union(above), "tree-paths")
-    return paths
+        up = here.select("_t", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("sum").alias("sum2"), F.col("len").alias("len2"))
+        ended = done.select("_t", F.col("node").alias("anc"), F.lit(None).cast("long").alias("anc2"), F.col("sum").alias("sum2"), F.col("len").alias("len2"))
+        # one that isn't there leaves the way as it is
+        far = here.join(up.unionByName(ended), ["_t", "anc"], "left").select("_t", "node", F.col("anc2").alias("anc"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len"))
+        far = materialize(far, "tree-links")
+        done = done.unionByName(far.where("anc IS NULL").drop("anc"))
+        links.append(far.where("anc IS NOT NULL"))
+    ranked = leaves.join(done.withColumnRenamed("node", "leaf"), ["_t", "leaf"]).withColumn("path_score", F.col("sum") / F.col("len"))
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("_t").orderBy(F.desc("path_score"), "leaf"))).where(F.col("rank") <= top_k)
+    paths = materialize(ranked.select("_t", "leaf", "rank", "path_score", (F.col("len") - 1).alias("pos"), F.col("leaf").alias("node")), "tree-paths")
+    for k in range(len(links) - 1, -1, -1):
+        # of a way that ends at a message that isn't there, that one would be before the root
+        above = paths.where(F.col("pos") >= (1 << k)).join(links[k].select("_t", "node", "anc"), ["_t", "node"]).select("_t", "leaf", "rank", "path_score", (F.col("pos") - (1 << k)).alias("pos"), F.col("anc").alias("node"))
+        before, paths = paths, materialize(paths.union(above), "tree-paths")
+        discard(before)
+    return paths.select("_t.tree", "leaf", "rank", "path_score", "node", "pos")
 
 
 def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -96,22 +97,23 @@ def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """
     text = escape(F.coalesce(F.col("text"), F.lit("")))
     sign = mark(F.coalesce(F.col("role"), F.lit("")))
-    turns = paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select(
-        "tree", "leaf", "rank", "path_score", "pos", F.concat(F.lit("<s>"), sign).alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("learn")
+    own = F.struct("tree").alias("_t")
+    turns = paths.select(own, "leaf", "rank", "path_score", "node", "pos").join(nodes.select(own, "node", "role", "text"), ["_t", "node"]).select(
+        "_t", "leaf", "rank", "path_score", "pos", F.concat(F.lit("<s>"), sign).alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("learn")
     )
     piece = turns.withColumn("size", (F.length("head") + F.length("body") + 4).cast("long"))
-    before = F.sum("size").over(W.partitionBy("tree", "leaf").orderBy("pos")) - F.col("size")
+    before = F.sum("size").over(W.partitionBy("_t", "leaf").orderBy("pos")) - F.col("size")
     placed = piece.select(
-        "tree", "leaf", "rank", "path_score",
+        "_t", "leaf", "rank", "path_score",
         F.struct(
             "pos",
             F.concat("head", "body", F.lit("</s>")).alias("piece"),
             F.when(F.coalesce(F.col("learn"), F.lit(False)), F.struct((before + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"))).alias("loss"),
         ).alias("turn"),
     )
-    whole = placed.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("path_score").alias("path_score"), F.sort_array(F.collect_list("turn")).alias("turns"))
+    whole = placed.groupBy("_t", "leaf").agg(F.first("rank").alias("rank"), F.first("path_score").alias("path_score"), F.sort_array(F.collect_list("turn")).alias("turns"))
     return whole.select(
-        "tree", "leaf", "rank", "path_score",
+        "_t.tree", "leaf", "rank", "path_score",
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
         F.filter(F.transform("turns", lambda t: t["loss"]), lambda s: s.isNotNull()).alias("loss"),
     )

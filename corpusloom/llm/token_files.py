@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, PARTITION_BYTES, materialize, open_fs, ordered_parts, string_buffers
-from .packing import _runs
+from .common import AtomicFile, FIRST, PARTITION_BYTES, materialize, open_fs, ordered_parts, string_buffers, text_runs
 from .range_coder import MAGIC, decode_segments, encode_segment
 from .units import default_tokenizer, encoder
 
-_NULL = -(1 << 63)
 _MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 _READ = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
@@ -38,9 +36,10 @@ def write_token_files(
     """Write every document's ids and the end id; returns the manifest, one row a file.
 
     A null text counts as empty, so its ids are the end id alone. Null document ids come first and
-    are read back as null; rows of equal id are ordered by text; an empty table gives no file and an
-    empty manifest; other columns are ignored. A segment closes at ``segment_ids`` ids, but holds
-    whole documents. The manifest holds part, file, n_docs, n_tokens and n_bytes.
+    are read back as null; rows of equal id are ordered by a hash of their text, repeated rows are
+    documents of their own; an empty table gives no file and an empty manifest; other columns are
+    ignored. A segment closes at ``segment_ids`` ids, but holds whole documents, also very long ones.
+    The manifest holds part, file, n_docs, n_tokens and n_bytes.
     """
     path = tokenizer or default_tokenizer()
 
@@ -68,7 +67,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             parts = np.asarray(batch.column(2))
-            keys = np.asarray(batch.column(0).fill_null(_NULL)).astype(np.int64)
+            keys = np.asarray(batch.column(0).fill_null(FIRST)).astype(np.int64)
             raw, offsets = string_buffers(batch.column(1))
             edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
             for lo, hi in zip(edges, edges[1:]):
@@ -79,19 +78,19 @@ def write_token_files(
                     name = f"{out_dir}/ids-{part:06d}.bin"
                     file = AtomicFile(name)
                     file.write(MAGIC)
-                for a, b in _runs(offsets[lo : hi + 1], 8 << 20):
+                for a, b in text_runs(offsets[lo : hi + 1], 8 << 20):
                     a, b = a + lo, b + lo
                     ids, sizes = encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     held.append((keys[a:b], sizes + 1, ids))
                     if sum(len(x[2]) for x in held) >= segment_ids:
-                        flush()
+                        flush()  # a run of texts is small beside a segment
         if file is not None:
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parted, n = ordered_parts(rows, "doc_id", "text", partition_bytes)
-    laid = parted.repartitionById(n, F.col("_part")).sortWithinPartitions("_part", "doc_id", "text")
+    parted, order = ordered_parts(rows, "doc_id", "text", partition_bytes)
+    laid = parted.repartitionById(order.parts, F.col("_part")).sortWithinPartitions("_part", "_key", "_tie", "text")
     return laid.select("doc_id", "text", "_part").mapInArrow(run, "part long, file string, n_docs long, n_tokens long, n_bytes long")
 
 
@@ -117,7 +116,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
                         base += len(ids)
                         for a in range(0, len(keys), 10_000):
                             s = slice(a, a + 10_000)
-                            columns = [pa.array(keys[s], pa.int64(), mask=keys[s] == _NULL), *(pa.array(x[s], pa.int64()) for x in (start, sizes, crc))]
+                            columns = [pa.array(keys[s], pa.int64(), mask=keys[s] == FIRST), *(pa.array(x[s], pa.int64()) for x in (start, sizes, crc))]
                             if with_ids:
                                 lists = np.split(ids[stop[a] - sizes[a] : stop[s][-1]].astype(np.int32), (stop[s] - (stop[a] - sizes[a]))[:-1])
                                 columns.append(pa.array(lists, fields.field("ids").type))

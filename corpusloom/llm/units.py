@@ -7,12 +7,15 @@ A text is cut where the pre-tokenizer is certain to begin a new piece, whatever
 * between punctuation or digits of ASCII and a letter or digit (but not after an apostrophe),
 * after a lone white space other than the blank.
 
-Between such cuts the ids don't depend on the rest of the text. Units are hashed with numpy over
-the bytes of a whole Arrow batch, and the tokenizer sees each unit that is new to the worker.
+Between such cuts the ids don't depend on the rest of the text. Units are looked up by hash, with numpy
+over the bytes of a whole Arrow batch, and every hit is compared byte for byte; the tokenizer sees
+each unit that is new to the worker. A text that holds an added token, such as ``<|endoftext|>``, goes
+to the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -37,39 +40,53 @@ _PAIR[_DIGIT, [_LETTER, _PUNCT, _QUOTE]] = 1
 _PAIR = _PAIR.ravel()
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPAN = 1 << 21
-
-
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed by BLAKE2 one by one, all others eight bytes a step, side by side.
+_LONG = 256
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by running sums of random byte values times powers; never 0."""
-    n = len(raw)
-    if n + 1 > len(_POWERS[0]):
-        for i, base in enumerate((_ODD, _INVERSE)):
-            x = np.full(n + 1, base, np.uint64)
-            x[0] = 1
-            _POWERS[i] = np.multiply.accumulate(x)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _POWERS[0][:n], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _POWERS[1][starts]
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= _MIX
-    hashes ^= hashes >> np.uint64(32)
+    """64-bit hashes of byte spans, never 0: lengths, then eight bytes after the other, each mixed in."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    words = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # of every place, the eight bytes from there
+    size = ends - starts
+    hashes = size.astype(np.uint64) * _ODD + _M2
+
+
+    def mixed(x: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        x = x ^ (words[at] & _FIRST[np.minimum(left, 8)])
+        x *= _M1
+        x ^= x >> np.uint64(32)
+        x *= _ODD
+        x ^= x >> np.uint64(29)
+        return x
+
+    hashes = mixed(hashes, starts, size)
+    index = np.flatnonzero((size > 8) & (size <= _LONG))
+    step = 8
+    while len(index):
+        own = size[index] - step
+        hashes[index] = mixed(hashes[index], starts[index] + step, own)
+        index = index[own > 8]
+        step += 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    hashes *= _M2
+    hashes ^= hashes >> np.uint64(31)
     hashes |= np.uint64(1)
     return hashes
 
 
 class HashIndex:
-    """Open-addressing table from 64-bit hashes (never 0) to their places in order of arrival."""
+    """Open-addressing table from 64-bit hashes (never 0) to places."""
 
     def __init__(self):
         self.count = 0
         self.hashes = np.zeros(1 << 10, np.uint64)
+        self.of = np.zeros(1 << 10, np.int32)
         self._sized(1 << 12)
 
     def _sized(self, slots: int) -> None:
@@ -92,16 +109,16 @@ class HashIndex:
             left = left[~hit & (key != 0)]
         return places
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Append distinct hashes that aren't in the table."""
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Put in distinct hashes that aren't in the table."""
         n, stop = self.count, self.count + len(hashes)
-        self.hashes = grown(self.hashes, stop)
-        self.hashes[n:stop] = hashes
+        self.hashes, self.of = grown(self.hashes, stop), grown(self.of, stop)
+        self.hashes[n:stop], self.of[n:stop] = hashes, places
         self.count = stop
         if stop * 2 > len(self.keys):
             self._sized(1 << (stop * 4).bit_length())
             n = 0
-        hashes, places = self.hashes[n:stop], np.arange(n, stop, dtype=np.int32)
+        hashes, places = self.hashes[n:stop], self.of[n:stop]
         mask = len(self.keys) - 1
         slot = ((hashes * _ODD) >> self.shift).astype(np.int64)
         left = np.arange(len(hashes))
@@ -121,23 +138,27 @@ def grown(array: np.ndarray, need: int) -> np.ndarray:
 
 
 class UnitEncoder:
-    """Encoder with a bounded store of units; ``max_units`` bounds its memory, not what it encodes."""
+    """Encoder with a store of units; ``max_units`` and ``max_bytes`` bound its memory, not what it encodes."""
 
-    def __init__(self, path: str, max_units: int = 1_000_000):
+    def __init__(self, path: str, max_units: int = 1_000_000, max_bytes: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for s, i in vocabulary.items() if s.startswith("Ġ")]] = True
-        self.max_units = max_units
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # units are joined for the tokenizer only where no added token could arise from that
+        self.joins = not any(t.replace(" ", "").isalpha() for t in self.added)
+        self.max_units, self.max_bytes = max_units, max_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.index = HashIndex()
-        self.used = 0
-        self.offsets = np.zeros(1024, np.int64)
-        self.lengths = np.zeros(1024, np.int32)
+        self.clashes: dict[bytes, int] = {}  # units whose hash is another one's
+        self.count = self.used = self.filled = 0
+        self.offsets, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.begins, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.int32)
+        self.data = np.zeros(4096, np.uint8)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``raw`` one after another, and the number of ids of each."""
@@ -155,7 +176,29 @@ class UnitEncoder:
             lengths.append(size)
             a = b
         total = np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64)))
-        return np.concatenate(pieces), np.diff(total[np.searchsorted(starts, offsets)])
+        ids, edges = np.concatenate(pieces), total[np.searchsorted(starts, offsets)]
+        whole = self._with_added(raw, offsets)
+        if whole:
+            parts = np.split(ids, edges[1:-1])
+            for i in whole:
+                text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")
+                parts[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, np.diff(edges)
+
+    def _with_added(self, raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that hold an added token's wording."""
+        data, found = raw.tobytes(), set()
+        for token in self.added:
+            wanted = token.encode()
+            at = data.find(wanted)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(wanted) <= offsets[i + 1]:
+                    found.add(i)
+                    at = int(offsets[i + 1]) - 1
+                at = data.find(wanted, at + 1)
+        return sorted(found)
 
     @staticmethod
     def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -177,28 +220,49 @@ class UnitEncoder:
     def _units(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(raw))
         hashes = hash_spans(raw, starts, ends)
-        if self.index.count > self.max_units:
+        if self.count > self.max_units or self.filled > self.max_bytes:
             self._clear()
         places = self.index.find(hashes)
         missing = np.flatnonzero(places < 0)
+        data = None
         if len(missing):
             fresh, first = np.unique(hashes[missing], return_index=True)
             at = missing[first]
             data = raw.tobytes()
-            self._learn(fresh, [data[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            self.index.add(fresh, self._learn([data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]))
             places[missing] = self.index.find(hashes[missing])
+        other = self._unlike(raw, starts, ends - starts, places)
+        if len(other):
+            data = data or raw.tobytes()
+            units = [data[s:e] for s, e in zip(starts[other].tolist(), ends[other].tolist())]
+            new = list(dict.fromkeys(u for u in units if u not in self.clashes))
+            self.clashes.update(zip(new, self._learn(new).tolist() if new else ()))
+            places[other] = [self.clashes[u] for u in units]
         size = self.lengths[places].astype(np.int64)
         stop = np.cumsum(size)
         index = np.repeat(self.offsets[places] - (stop - size), size)
         index += np.arange(len(index))
         return self.ids[index], size
 
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        plain = [i for i, u in enumerate(units) if u[0] == " " and u[1:].isalpha()]
+    def _unlike(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Units whose bytes aren't those of their place."""
+        at = np.repeat(self.begins[places] - starts.astype(np.int32), sizes)
+        at += np.arange(len(raw), dtype=np.int32)
+        differs = np.flatnonzero(self.data[np.minimum(at, len(self.data) - 1)] != raw)
+        short = self.sizes[places] != sizes
+        if not len(differs) and not short.any():
+            return differs
+        short[np.searchsorted(starts, differs, "right") - 1] = True
+        return np.flatnonzero(short)
+
+    def _learn(self, units: list[bytes]) -> np.ndarray:
+        """Encode new units and keep them; returns their places."""
+        texts = [u.decode("utf-8") for u in units]
+        plain = [i for i, u in enumerate(texts) if u[0] == " " and u[1:].isalpha()] if self.joins else []
         chosen = set(plain)
-        found: list = [None] * len(units)
+        found: list = [None] * len(texts)
         groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        for group, x in zip(groups, self.tokenizer.encode_batch_fast(["".join(units[i] for i in g) for g in groups], add_special_tokens=False)):
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast(["".join(texts[i] for i in g) for g in groups], add_special_tokens=False)):
             ids = np.array(x.ids, np.int32)
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(group):
@@ -206,17 +270,20 @@ class UnitEncoder:
                     found[i] = part
             else:
                 chosen.difference_update(group)
-        rest = [i for i in range(len(units)) if i not in chosen]
-        for i, x in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+        rest = [i for i in range(len(texts)) if i not in chosen]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             found[i] = np.array(x.ids, np.int32)
-        n, size = self.index.count, np.array([len(x) for x in found], np.int32)
-        end, stop = n + len(units), self.used + int(size.sum())
+        n, size, wide = self.count, np.array([len(x) for x in found], np.int32), np.array([len(u) for u in units], np.int32)
+        end, stop, full = n + len(units), self.used + int(size.sum()), self.filled + int(wide.sum())
         self.offsets, self.lengths, self.ids = grown(self.offsets, end), grown(self.lengths, end), grown(self.ids, stop)
-        self.lengths[n:end] = size
+        self.begins, self.sizes, self.data = grown(self.begins, end), grown(self.sizes, end), grown(self.data, full)
+        self.lengths[n:end], self.sizes[n:end] = size, wide
         self.offsets[n:end] = self.used + np.cumsum(size) - size
+        self.begins[n:end] = self.filled + np.cumsum(wide) - wide
         self.ids[self.used : stop] = np.concatenate(found)
-        self.used = stop
-        self.index.add(hashes)
+        self.data[self.filled : full] = np.frombuffer(b"".join(units), np.uint8)
+        self.count, self.used, self.filled = end, stop, full
+        return np.arange(n, end, dtype=np.int32)
 
 
 _STORE: dict[tuple, object] = {}
