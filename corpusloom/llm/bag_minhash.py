@@ -40,10 +40,12 @@ _TABLE = np.frombuffer(_BLANK, np.uint8)
 _M1, _M2, _STEP, _STRIP = (_U(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _SHORT = _U(0x2545F4914F6CDD1D)
 _KEY_BITS = 52  # of a shingle, beside 12 for its document in a run
-#: Rows of a shared shingle that are joined in one part; beyond it they are salted.
-BLOCK = 1000
+#: Texts of a shared shingle that are held against each other in one task; beyond it they are, block by block.
+BLOCK = 4096
 #: Parts of a centre's members.
 PARTS = 64
+#: Texts of a component's block; two blocks are compared in one task's memory.
+GROUP = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,6 +144,47 @@ def _multisets(column: pa.Array, width: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def multisets(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, and the shingles of the text: sorted keys and counts, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _multisets(batch.column(2), width)
+            for a in range(0, len(found), 1000):
+                part = found[a : a + 1000]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), batch.column(1).slice(a, len(part)), pa.array([k.tobytes() for k, _ in part], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in part], pa.binary())], schema=_SETS)
+
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, keys binary, counts binary")
+
+
+def _sets_of(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Stored shingles of the members' texts.
+
+    Members are a small part of all texts, so a Bloom filter of their ids, which Spark makes at run time, leaves
+    out most others before they are shuffled; the settings for that are as before afterwards.
+    """
+    conf = texts.sparkSession.conf
+    n = members.count()
+    wanted = {"bloomFilter.enabled": "true", "bloomFilter.creationSideThreshold": "1GB", "bloomFilter.applicationSideScanSizeThreshold": "0", "bloomFilter.expectedNumItems": str(min(4_000_000, max(1, n))), "bloomFilter.numBits": str(min(1 << 26, max(1 << 20, 16 * n)))}
+    before = {k: conf.get(f"spark.sql.optimizer.runtime.{k}", None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(f"spark.sql.optimizer.runtime.{k}", v)
+        # the filter is made of a side that a condition makes smaller, which this one stands for
+        some = members.where(F.col("doc_id") >= F.lit(-(1 << 63)))
+        return materialize(multisets(texts.join(some, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]), width), "near-sets")
+    finally:
+        for k, v in before.items():
+            conf.unset(f"spark.sql.optimizer.runtime.{k}") if v is None else conf.set(f"spark.sql.optimizer.runtime.{k}", v)
+
+
+def _read_set(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
+
+
 def _groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     for a, b in text_runs(offsets, 2 << 20):
         for lo in range(a, b, 4096):
@@ -200,21 +243,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 _LINKS = pa.schema([(x, pa.int64()) for x in ("a_id", "a_hash", "b_id", "b_hash")] + [("similarity", pa.float64())])
 
 
-def _verify(width: int, least: float):
+def _verify(least: float):
     """Overlap of each member with its centre; rows come by centre and part, the centre's own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, centre = None, None
         for batch in batches:
-            sets = _multisets(batch.column(5), width)
             found = []
-            for c, c_hash, m, m_hash, leads, s in zip(*(batch.column(i).to_pylist() for i in range(5)), sets):
+            for c, c_hash, m, m_hash, leads, keys, counts in zip(*(x.to_pylist() for x in batch.columns)):
                 if leads:
-                    here, centre = (c, c_hash), s
+                    here, centre = (c, c_hash), _read_set(keys, counts)
                 elif (c, c_hash) != here:
-                    raise ValueError(f"the text of {c} is missing")
+                    raise ValueError(f"the shingles of {c} are missing")
                 else:
-                    same = overlap(centre, s)
+                    same = overlap(centre, _read_set(keys, counts))
                     if same >= least:
                         found.append((m, m_hash, c, c_hash, same))
             if found:
@@ -223,63 +265,180 @@ def _verify(width: int, least: float):
     return run
 
 
-def _compare(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+def _links(found: DataFrame) -> DataFrame:
+    node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_hash").alias("text_hash")).alias(x)
+    return found.select(node("a"), node("b"), "similarity")
+
+
+_LINKED = "a_id long, a_hash long, b_id long, b_hash long, similarity double"
+
+
+def _with_centres(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """Links among pairs (node, centre), each a struct of doc_id and text_hash: a, b, similarity.
 
-    A centre's text goes once to each of ``PARTS`` parts of its members, a member's once to each centre.
+    A centre's shingles go once to each of ``PARTS`` parts of its members, a member's once to each centre.
     """
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
     members = salted.select("centre", "part", F.col("node").alias("own"), F.lit(False).alias("leads"))
     centres = salted.select("centre", "part", F.col("centre").alias("own"), F.lit(True).alias("leads")).distinct()
     asked = members.unionByName(centres).select("centre", "part", "leads", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash"))
-    laid = texts.join(asked, ["doc_id", "text_hash"]).repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("leads"))
-    found = laid.select("centre.doc_id", "centre.text_hash", F.col("doc_id").alias("m"), F.col("text_hash").alias("m_hash"), "leads", "text").mapInArrow(_verify(width, least), "a_id long, a_hash long, b_id long, b_hash long, similarity double")
-    node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_hash").alias("text_hash")).alias(x)
-    return found.select(node("a"), node("b"), "similarity")
+    laid = sets.join(asked, ["doc_id", "text_hash"]).repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("leads"))
+    found = laid.select("centre.doc_id", "centre.text_hash", F.col("doc_id").alias("m"), F.col("text_hash").alias("m_hash"), "leads", "keys", "counts")
+    return _links(found.mapInArrow(_verify(least), _LINKED))
+
+
+def _verify_blocks(least: float):
+    """Overlap of the listed pairs of two blocks; of texts that are linked already within the two none is compared again."""
+
+    def compare(members: list) -> list[tuple]:
+        known = {node: _read_set(keys, counts) for node, _, keys, counts in members}
+        label = {node: node for node in known}
+
+        def root(x):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        found = []
+        for node, partners, _, _ in members:
+            for p in partners or ():
+                other = (p["doc_id"], p["text_hash"])
+                x, y = root(node), root(other)
+                if x != y:
+                    same = overlap(known[node], known[other])
+                    if same >= least:
+                        found.append((*node, *other, same))
+                        label[x] = y
+        return found
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, members = None, []
+        for batch in batches:
+            found = []
+            for group, doc, hash_, partners, keys, counts in zip(*(x.to_pylist() for x in batch.columns)):
+                if group != here:
+                    found += compare(members)
+                    here, members = group, []
+                members.append(((doc, hash_), partners, keys, counts))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), _LINKS)], schema=_LINKS)
+        found = compare(members)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), _LINKS)], schema=_LINKS)
+
+    return run
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.list_(pa.struct([("key", pa.int64()), ("count", pa.int64())])))])
 
+def _in_blocks(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Links among pairs (node, centre) with the blocks that they are in (block, block2): a, b, similarity.
 
-def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    Shingles go once to each pair of blocks, however many pairs of texts that has.
+    """
+    grouped = pairs.withColumn("group", F.xxhash64("block", "block2"))
+    left = grouped.groupBy("group", "node").agg(F.collect_list("centre").alias("partners"))
+    right = grouped.select("group", F.col("centre").alias("node")).distinct().withColumn("partners", F.lit(None).cast(left.schema["partners"].dataType))
+    asked = left.unionByName(right).groupBy("group", "node").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    asked = asked.select("group", "partners", F.col("node.doc_id").alias("doc_id"), F.col("node.text_hash").alias("text_hash"))
+    laid = sets.join(asked, ["doc_id", "text_hash"]).repartition("group").sortWithinPartitions("group")
+    return _links(laid.select("group", "doc_id", "text_hash", "partners", "keys", "counts").mapInArrow(_verify_blocks(least), _LINKED))
+
+
+def _shingle_rows(sets: DataFrame) -> DataFrame:
     """A row a distinct shingle: node, key, count."""
+    fields = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.list_(pa.struct([("key", pa.int64()), ("count", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = string_buffers(batch.column(2))
-            for a, b in _groups(offsets):
-                doc, key, count = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                edge = np.searchsorted(doc, np.arange(b - a + 1))
-                items = pa.StructArray.from_arrays([pa.array(key.astype(np.int64)), pa.array(count.astype(np.int64))], ["key", "count"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), items)], schema=_SETS)
+            found = [_read_set(k, c) for k, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            edge = np.cumsum([0, *(len(k) for k, _ in found)])
+            keys, counts = (np.concatenate([x[i] for x in found] or [np.zeros(0)]).astype(np.int64) for i in (0, 1))
+            items = pa.StructArray.from_arrays([pa.array(keys), pa.array(counts)], ["key", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), items)], schema=fields)
 
-    rows = texts.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, shingles array<struct<key:long,count:long>>")
+    rows = sets.select("doc_id", "text_hash", "keys", "counts").mapInArrow(run, "doc_id long, text_hash long, shingles array<struct<key:long,count:long>>")
     return rows.select(F.struct("doc_id", "text_hash").alias("node"), F.explode("shingles").alias("s")).select("node", "s.key", "s.count")
 
 
+_PAIRS = pa.schema([(x, pa.int64()) for x in ("a_id", "a_hash", "b_id", "b_hash", "block", "block2")])
+
+
+def _prefix_matches(least: float):
+    """Pairs of texts with one shingle in both prefixes that fit each other; rows come by key and blocks."""
+    share = least / (1 + least) - 1e-9
+
+    def matches(rows: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        side, doc, hash_, own, block, n, short = rows.T
+        out = []
+        small = np.flatnonzero(short)
+        for at in range(0, len(rows), 512):
+            i = np.arange(at, min(len(rows), at + 512))[:, None]
+            fits = (n[small] <= n[i]) & (n[small] >= n[i] * (least - 1e-9)) & (own[small] != own[i])
+            fits &= np.minimum(rest[small], rest[i]) >= (n[small] + n[i]) * share
+            fits &= (n[small] < n[i]) | (doc[small] < doc[i]) | ((doc[small] == doc[i]) & (hash_[small] < hash_[i]))
+            if side.any():  # of two blocks only pairs of one text of each: each block also meets itself
+                fits &= side[small] != side[i]
+            x, y = np.nonzero(fits)
+            x, y = x + at, small[y]
+            out.append(np.column_stack((doc[x], hash_[x], doc[y], hash_[y], block[x], block[y])))
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held_rows, held_rest = [], [], []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            """All groups that are whole; the last one may go on in the next batch."""
+            if not held_keys:
+                return
+            keys, rows, rest = np.concatenate(held_keys), np.concatenate(held_rows), np.concatenate(held_rest)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            stop = len(edges) - 1 if last else len(edges) - 2
+            found = [m for a, b in zip(edges[:stop], edges[1 : stop + 1]) if b - a > 1 and len(m := matches(rows[a:b], rest[a:b]))]
+            cut = edges[stop]
+            held_keys[:], held_rows[:], held_rest[:] = [keys[cut:]], [rows[cut:]], [rest[cut:]]
+            if found:
+                table = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], schema=_PAIRS)
+
+        for batch in batches:
+            columns = [np.asarray(c).astype(np.int64) for c in batch.columns]
+            held_keys.append(np.column_stack(columns[:3]))
+            held_rows.append(np.column_stack(columns[3:10]))
+            held_rest.append(columns[10])
+            yield from flush(False)
+        yield from flush(True)
+
+    return run
+
+
 def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs (node, centre) of different labels that may overlap by ``least``: no other pair does.
+    """Pairs (node, centre) of different labels that may overlap by ``least``, with their blocks: no other pair does.
 
-    ``sets`` has a row a shingle of a node: node, key, count; ``labels`` node, own and the node's weight n.
-    In the order of frequency, then key, the first shingle that two texts share bounds their overlap
-    by the weight from there on, which must reach least / (1 + least) of their weights' sum. For the
-    smaller of two texts that is more than for the larger one, so its prefix is shorter.
+    ``sets`` has a row a shingle of a node: node, key, count; ``labels`` node, hashes of its label and of
+    its block (own, block), and its weight n. In the order of frequency, then key, the first shingle
+    that two texts share bounds their overlap by the weight from there on, which must reach
+    least / (1 + least) of their weights' sum. For the smaller of two texts that is more than for the
+    larger one, so its prefix is shorter. Only texts with one shingle in both prefixes are looked at.
     """
     total = sets.count()
     often = materialize(sets.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "near-often")
     known = join_groups(sets, often, ["key"], "often", total)
     # shingles of one text only come first in the order and are in no pair: what counts is their weight
-    order = W.partitionBy("node").orderBy("often", "key").rowsBetween(0, W.unboundedFollowing)
-    rest = known.withColumn("rest", F.sum("count").over(order)).join(labels, "node")
-    prefix = rest.where(F.col("rest") >= F.col("n") * (least - 1e-9)).select("key", "node", "own", "n", "rest", (F.col("rest") >= F.col("n") * (2 * least / (1 + least) - 1e-9)).alias("short"))
+    before = W.partitionBy("node").orderBy("often", "key").rowsBetween(W.unboundedPreceding, -1)
+    rest = known.withColumn("rest", F.sum("count").over(W.partitionBy("node")) - F.coalesce(F.sum("count").over(before), F.lit(0))).join(labels, "node")
+    short = (F.col("rest") >= F.col("n") * (2 * least / (1 + least) - 1e-9)).cast("int").alias("short")
+    prefix = rest.where(F.col("rest") >= F.col("n") * (least - 1e-9)).select("key", F.col("node.doc_id").alias("doc_id"), F.col("node.text_hash").alias("text_hash"), "own", "block", "n", short, "rest")
     prefix = materialize(prefix, "near-prefixes")
-    size = materialize(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("short").cast("long")).alias("shorts")).where("rows > 1 AND shorts > 0"), "near-prefix-keys")
-    sized = join_groups(prefix, size, ["key"], "rows", total).withColumn("salts", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    large = sized.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("key", "salt", "node", "own", "n", "rest")
-    small = sized.where("short").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("centre"), F.col("own").alias("own2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
-    met = large.join(small, ["key", "salt"]).where((F.col("own") != F.col("own2")) & (F.col("n2") <= F.col("n")) & (F.col("n2") >= F.col("n") * (least - 1e-9)) & ((F.col("n2") < F.col("n")) | (F.col("centre") < F.col("node"))))
-    out = materialize(met.where(F.least("rest", "rest2") >= (F.col("n") + F.col("n2")) * (least / (1 + least) - 1e-9)).select("node", "centre").distinct(), "near-candidates")
-    discard(often, prefix, size)
+    hot = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("blocks", F.lit(1))).cast("int")
+    other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
+    met = prefix.join(hot, "key", "left").withColumn("one", own).withColumn("two", other)
+    laid = met.select("key", F.least("one", "two").alias("i"), F.greatest("one", "two").alias("j"), (F.col("one") > F.col("two")).cast("int").alias("side"), "doc_id", "text_hash", "own", "block", "n", "short", "rest")
+    laid = laid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = laid.mapInArrow(_prefix_matches(least), "a_id long, a_hash long, b_id long, b_hash long, block long, block2 long").distinct()
+    node = lambda x: F.struct(F.col(f"{x}_id").alias("doc_id"), F.col(f"{x}_hash").alias("text_hash"))
+    out = materialize(found.select(node("a").alias("node"), node("b").alias("centre"), "block", "block2"), "near-candidates")
+    discard(often, prefix)
     return out
 
 
@@ -329,8 +488,10 @@ def _link(texts: DataFrame, reps: DataFrame, least: float, width: int) -> tuple[
     total = reps.count()
     shared = materialize(join_groups(banded, buckets, ["key"], "size", total), "near-shared")
     sized = F.least("n", "centre_n") >= F.lit(least) * F.greatest("n", "centre_n")
+    members = materialize(shared.select(F.col("node.doc_id").alias("doc_id"), F.col("node.text_hash").alias("text_hash")).distinct(), "near-members")
+    sets = _sets_of(texts, members, width)
     pairs = shared.where((F.col("node") != F.col("centre")) & sized).select("node", "centre").distinct()
-    links = materialize(_compare(texts, pairs, width, least), "near-links")
+    links = materialize(_with_centres(sets, pairs, least), "near-links")
     first = components(links.select("a", "b"))
 
     # buckets whose members are still in several components
@@ -338,14 +499,19 @@ def _link(texts: DataFrame, reps: DataFrame, least: float, width: int) -> tuple[
     differ = (F.min("own.doc_id") != F.max("own.doc_id")) | (F.min("own.text_hash") != F.max("own.text_hash"))
     open_ = materialize(placed.groupBy("key").agg(differ.alias("open"), F.count(F.lit(1)).alias("size")).where("open").select("key", "size"), "near-open")
     nodes = materialize(join_groups(placed, open_, ["key"], "size", total).select("node", "own", "n").distinct(), "near-open-texts")
-    discard(buckets, shared, placed, open_)
+    discard(buckets, shared, members, placed, open_)
     if nodes.isEmpty():
+        discard(sets)
         return first, links
+    blocks = nodes.groupBy("own").agg(F.count(F.lit(1)).alias("size"))
+    of_own = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
+    labels = materialize(join_groups(nodes, blocks, ["own"], "size", total).select("node", F.xxhash64("own").alias("own"), "n", F.xxhash64("own", of_own).alias("block")), "near-labels")
     wanted = nodes.select(F.col("node.doc_id").alias("doc_id"), F.col("node.text_hash").alias("text_hash"))
-    sets = materialize(_shingle_rows(texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]), width), "near-open-sets")
-    candidates = prefix_pairs(sets, nodes, least)
-    more = materialize(_compare(texts, candidates, width, least), "near-more-links")
-    discard(nodes, sets, candidates)
+    rows = materialize(_shingle_rows(sets.join(wanted, ["doc_id", "text_hash"])), "near-shingles")
+    candidates = prefix_pairs(rows, labels, least)
+    discard(nodes, rows, labels)
+    more = materialize(_in_blocks(sets, candidates, least), "near-more-links")
+    discard(candidates, sets)
     if more.isEmpty():
         return first, links
     return components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b"))), links.unionByName(more)

@@ -172,7 +172,7 @@ def brute_classes(rows, least=0.8):
     return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("block", [1000, 3])
+@pytest.mark.parametrize("block", [4096, 3])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(bag_minhash, "BLOCK", block)
     rows = families() + [(900, "--- ***"), (901, "--- ***"), (902, "--- **")]
@@ -189,8 +189,9 @@ def test_near_duplicates_of_documents_equal_brute_force(spark):
     assert {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(docs).collect()} == brute_classes(rows)
 
 
-@pytest.mark.parametrize("least", [0.8, 0.6])
-def test_prefixes_lose_no_pair(spark, least):
+@pytest.mark.parametrize("least, block", [(0.8, 4096), (0.6, 4096), (0.6, 5)])
+def test_prefixes_lose_no_pair(spark, monkeypatch, least, block):
+    monkeypatch.setattr(bag_minhash, "BLOCK", block)
     rng = random.Random(6)
     sets = {}
     for i in range(90):
@@ -198,9 +199,9 @@ def test_prefixes_lose_no_pair(spark, least):
         sets[i] = Counter(x if rng.random() < 0.9 else rng.randrange(200) for x in base)
     node = lambda i: (i, i * 7)
     rows = spark.createDataFrame([(node(i), k, c) for i, s in sets.items() for k, c in s.items()], "node struct<doc_id:long,text_hash:long>, key long, count long")
-    labels = spark.createDataFrame([(node(i), node(i), s.total()) for i, s in sets.items()], "node struct<doc_id:long,text_hash:long>, own struct<doc_id:long,text_hash:long>, n long")
+    labels = spark.createDataFrame([(node(i), i // 2, i % 3, s.total()) for i, s in sets.items()], "node struct<doc_id:long,text_hash:long>, own long, block long, n long")
     found = {tuple(sorted((r.node.doc_id, r.centre.doc_id))) for r in bag_minhash.prefix_pairs(rows, labels, least).collect()}
-    wanted = {(j, i) for i in sets for j in range(i) if (sets[i] & sets[j]).total() >= least * (sets[i] | sets[j]).total()}
+    wanted = {(j, i) for i in sets for j in range(i) if i // 2 != j // 2 and (sets[i] & sets[j]).total() >= least * (sets[i] | sets[j]).total()}
     assert wanted and wanted <= found
 
 
