@@ -157,3 +157,10 @@ def resident_card(value: str) -> bool:
         return False
     total = sum(int(c) * pow(2, 17 - i, 11) for i, c in enumerate(value[:17]))
     return "10X98765432"[total % 11] == value[17]
+
+
+def ssn(value: str) -> bool:
+    """Area, group and serial number that the administration gives out: none is zero, areas aren't 666 or above 899."""
+    digits = "".join(c for c in value if c.isdigit())
+    area, group, serial = digits[:3], digits[3:5], digits[5:]
+    return len(digits) == 9 and area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"

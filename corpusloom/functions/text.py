@@ -6,6 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,6 +145,16 @@ def words(c: Column, lower: bool = False, strip_chars: str = "") -> Column:
     return F.filter(F.transform(w, lambda x: F.btrim(x, F.lit(strip_chars))), lambda x: x != "") if strip_chars else w
 
 
+def strip_characters(c: Column, chars: str) -> Column:
+    """Without characters of a set at both ends."""
+    return F.btrim(c, F.lit(chars))
+
+
+def one_line(c: Column) -> Column:
+    """Line ends as blanks."""
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
 def among(array: Column, items) -> Column:
     """Items of an array that a fixed list has."""
     known = F.array(*map(F.lit, sorted(set(items))))
@@ -237,3 +248,97 @@ def surt(url: Column) -> Column:
 def html_lang(html: Column) -> Column:
     found = F.regexp_extract(html, r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", 1)
     return F.when(found != "", found)
+
+
+# -- decoders, keys, tokenizers -----------------------------------------------------
+
+
+def _hex(encoded: Column) -> Column:
+    return F.hex(F.unbase64(encoded))
+
+
+def line_ids(encoded: Column) -> Column:
+    """Line numbers of ``line_ids_base64``: array<int>, 0 to 65,535."""
+    at = lambda h, i: F.conv(F.concat(F.substr(h, i * 4 + 3, F.lit(2)), F.substr(h, i * 4 + 1, F.lit(2))), 16, 10).cast("int")
+    some = lambda h: F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 4).cast("int") - 1), lambda i: at(h, i))
+    return let(_hex(encoded), lambda h: F.when(F.length(h) >= 4, some(h)).otherwise(F.array().cast("array<int>")))
+
+
+def line_hashes(encoded: Column) -> Column:
+    """Hashes of ``line_hashes32``: array<string> of eight hexadecimal digits."""
+    some = lambda h: F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 8).cast("int") - 1), lambda i: F.substr(h, i * 8 + 1, F.lit(8)))
+    return let(_hex(encoded), lambda h: F.when(F.length(h) >= 8, some(h)).otherwise(F.array().cast("array<string>")))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def digest_key(digest: Column) -> Column:
+    """First four bytes of a digest ``sha1:BASE32``, as eight hexadecimal digits; null for anything else."""
+    first = F.regexp_extract(digest, "^sha1:([A-Z2-7]{7})", 1)
+    value = F.aggregate(F.split(first, ""), F.lit(0).cast("long"), lambda a, c: a * 32 + F.instr(F.lit(_BASE32), c) - 1)
+    return F.when(first != "", F.lpad(F.hex(F.shiftright(value, 3)), 8, "0"))
+
+
+def primary_language(code: Column) -> Column:
+    """The language that a list of codes begins with: its first three characters."""
+    return F.substring(code, 1, 3)
+
+
+#: Languages whose words aren't set apart by blanks.
+NOT_SPACED = ("th", "zh", "ja")
+
+
+def tokenise(c: Column, language: str = "en") -> Column:
+    """Words and punctuation set apart by single blanks, line by line, case and numbers kept.
+
+    Signs stand alone; a comma does unless digits are on both sides, a full stop only at the end of a
+    line; an apostrophe between letters stays with what is behind it, in French, Italian and Catalan
+    with what is before it. Lines of ``NOT_SPACED`` languages are as they were.
+    """
+    if language in NOT_SPACED:
+        return c
+    clings = "$1' $2" if language in ("fr", "it", "ca") else "$1 '$2"
+    steps = (
+        (r"([^\p{L}\p{M}\p{N} .',\-])", " $1 "),
+        (r"([^\p{N}]),", "$1 , "),
+        (r",([^\p{N}])", " , $1"),
+        (r"([\p{L}])'([\p{L}])", clings),
+        (r"([^ .])\.[ ]*$", "$1 ."),
+        (r" +", " "),
+    )
+
+    def line(x: Column) -> Column:
+        x = normalize(x, accent=False, case=False, numbers=False)
+        for pattern, to in steps:
+            x = F.regexp_replace(x, pattern, to)
+        return F.btrim(x)
+
+    return F.array_join(F.transform(F.split(c, "\n"), line), "\n")
+
+
+def subword_pieces(c: Column, models: dict[str, str], language: Column) -> Column:
+    """Pieces of the model of each row's language, joined by blanks; without a model the text stays as it is.
+
+    ``models`` maps languages to files of the sentencepiece library, which a worker opens once.
+    """
+    known = dict(models)
+
+    @F.pandas_udf("string")
+    def pieces(text: pd.Series, lang: pd.Series) -> pd.Series:
+        out = []
+        for t, k in zip(text, lang):
+            model = None if t is None else _pieces_model(known.get(k) or known.get("*"))
+            out.append(t if model is None else " ".join(model.encode(t, out_type=str)))
+        return pd.Series(out, dtype=object)
+
+    return pieces(c, language)
+
+
+@lru_cache(8)
+def _pieces_model(path: str | None):
+    if path is None:
+        return None
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)

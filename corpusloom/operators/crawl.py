@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import re
+from collections.abc import Sequence
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -181,3 +183,105 @@ def classify_logs(lines: DataFrame, line: str = "value") -> DataFrame:
     low = F.lower(F.col(line))
     kind = F.when(low.contains("out of memory") | low.contains("oom"), "memory").when(low.contains("timeout") | low.contains("timed out"), "timeout").when(low.contains("error") | low.contains("exception"), "error").otherwise("fine")
     return lines.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def crawl_tables(index: DataFrame, seeds: DataFrame, path: str, crawls: str, by: str = "seed") -> DataFrame:
+    """Index rows of the seeds (or addresses) in the crawls that a pattern chooses, stored by crawl and subset, gzip.
+
+    One query for all crawls: the pattern chooses partitions, and each crawl is a folder of the output.
+    """
+    chosen = index.where(F.col("crawl").rlike(f"^(?:{crawls})$"))
+    found = seed_join(chosen, seeds) if by == "seed" else url_join(chosen, seeds)
+    found.write.partitionBy("crawl", "subset").option("compression", "gzip").mode("overwrite").parquet(path)
+    return index.sparkSession.read.parquet(path)
+
+
+def crawls_of(spark: SparkSession, path: str) -> DataFrame:
+    """Partitions of a stored index: crawl and subset; no file of data is read."""
+    return spark.read.parquet(path).select("crawl", "subset").distinct()
+
+
+def task_slice(files: Sequence[str], task: int, tasks: int) -> list[str]:
+    """The files of one of several tasks, in order: consecutive ones, as even as can be."""
+    n = -(-len(files) // max(1, tasks))
+    return list(files)[task * n : (task + 1) * n]
+
+
+def links_of(pages: DataFrame, link: str, *columns: str) -> DataFrame:
+    """A row a link: how many pages have it, and lists of their values, each in order."""
+    return pages.groupBy(link).agg(F.count(F.lit(1)).alias("n"), *(F.array_sort(F.collect_list(c)).alias(c) for c in columns))
+
+
+def languages_by_prefix(found: DataFrame, lang: str = "languages") -> DataFrame:
+    """Rows of each primary language, that with which a row's list of languages begins."""
+    return found.groupBy(T.primary_language(F.col(lang)).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- archives to HTML -----------------------------------------------------------------------
+
+
+def _records(data: bytes):
+    """Type, header fields and block of each record of a WARC file's bytes."""
+    at = 0
+    while (start := data.find(b"WARC/1.", at)) >= 0:
+        end = re.compile(rb"\r?\n\r?\n").search(data, start)
+        if end is None:
+            raise ValueError("a record without an end of its header")
+        fields = {}
+        for line in data[start : end.start()].decode("utf-8", "replace").splitlines()[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        size = int(fields["content-length"])
+        if end.end() + size > len(data):
+            raise ValueError("a record is cut off")
+        yield fields.get("warc-type", ""), fields, data[end.end() : end.end() + size]
+        at = end.end() + size
+
+
+def _charset(head: bytes, body: bytes) -> str:
+    found = re.search(rb"(?i)content-type:[^\r\n]*charset=[\"']?([\w-]+)", head) or re.search(rb"(?i)<meta[^>]*charset=[\"']?([\w-]+)", body[:2048])
+    name = found[1].decode("ascii") if found else "utf-8"
+    try:
+        "".encode(name)
+    except LookupError:
+        return "utf-8"
+    return name
+
+
+def _html(data: bytes | None, mime: str | None) -> tuple:
+    if data is None or mime not in ("text/html", "application/xhtml+xml"):
+        return None, None
+    try:
+        raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        block = next((b for kind, _, b in _records(raw) if kind == "response"), None)
+        if block is None:
+            return None, "no response"
+        end = re.search(rb"\r?\n\r?\n", block) if block.startswith(b"HTTP/") else None
+        head, body = (block[: end.start()], block[end.end() :]) if end else (b"", block)
+        if re.search(rb"(?i)content-encoding:\s*gzip", head):
+            body = gzip.decompress(body)
+        return body.decode(_charset(head, body), "replace"), None
+    except Exception as error:  # noqa: BLE001 - the row tells what went wrong
+        return None, repr(error)
+
+
+def warc_html(data: Column, mime: Column) -> Column:
+    """Struct of html, from the first response of a WARC record's bytes, and html_error; both null for what isn't HTML.
+
+    The character set is that of the HTTP head, else of the page, else UTF-8; bytes that aren't in it are replaced.
+    """
+
+    @F.pandas_udf("html string, html_error string")
+    def of(column: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_html(None if x is None else bytes(x), k) for x, k in zip(column, kinds)], columns=["html", "html_error"])
+
+    return of(data, mime)
+
+
+def preprocess_pages(rows: DataFrame, data: str = "compressed_warc", mime: str = "content_mime_detected", url: str = "url", domain: str = "domain") -> DataFrame:
+    """Rows with html and its error, links out of the site, and the address if it is a PDF; bytes go."""
+    from .projections import pdf_url
+
+    found = rows.withColumn("_h", warc_html(F.col(data), F.col(mime)))
+    links = F.when(F.col("_h.html").isNotNull(), external_links(F.col("_h.html"), F.col(domain)))
+    return found.select(*(c for c in rows.columns if c != data), F.col("_h.html").alias("html_str"), F.col("_h.html_error").alias("html_error"), links.alias("external_urls"), pdf_url(F.col(mime), F.col(url)).alias("pdf_url"))

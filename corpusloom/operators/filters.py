@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .profile import percentiles
 from .wordlists import FLAGGED, STOPWORDS
 
 #: Characters that count as special: punctuation, symbols, separators, formats, ASCII digits, white space.
@@ -125,10 +126,16 @@ def word_repetition(c: Column, size: int | Column = 5) -> Column:
     """Share of the places of word n-grams that occur more than once."""
 
     @F.pandas_udf("double")
-    def ratio(words: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_word_repetition(list(w) if w is not None else [], int(k)) for w, k in zip(words, n)])
+    def ratio(text: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_word_repetition(_words(t or ""), int(k)) for t, k in zip(text, n)])
+
+    return ratio(F.lower(c), size if isinstance(size, Column) else F.lit(size))
 
-    return ratio(T.words(c, lower=True, strip_chars=_ASCII_SPECIAL), size if isinstance(size, Column) else F.lit(size))
+
+def _words(text: str) -> list[str]:
+    """As ``functions.text.words`` with the characters of ``_ASCII_SPECIAL`` trimmed."""
+    stripped = (w.strip(_ASCII_SPECIAL) for w in text.replace("\n", " ").replace("\t", " ").split(" "))
+    return [w for w in stripped if w]
 
 
 def special_ratio(c: Column) -> Column:
@@ -150,18 +157,57 @@ def listed_ratio(c: Column, lang: Column, lists: Mapping[str, str | Sequence[str
     return T.let(T.words(c, lower=True, strip_chars=_ASCII_SPECIAL), share) if known else F.lit(None).cast("double")
 
 
+_METRICS = "number_words long, character_repetition double, word_repetition double, stop_ratio double, flagged_ratio double"
+
+
 def metrics(docs: DataFrame, text: str = "text", lang: str = "lang", stopwords: Mapping = STOPWORDS, flagged: Mapping = FLAGGED) -> DataFrame:
-    """All metrics beside the columns of ``docs``."""
+    """All metrics beside the columns of ``docs``. Words are made once a text, in one Arrow function for those that need them."""
     c, code = F.coalesce(F.col(text), F.lit("")), F.col(lang)
-    return docs.select(
-        "*",
-        number_words(c).alias("number_words"),
-        character_repetition(c, by_language(code, "char_size")).alias("character_repetition"),
-        word_repetition(c, by_language(code, "word_size")).alias("word_repetition"),
-        special_ratio(c).alias("special_ratio"),
-        listed_ratio(c, code, stopwords).alias("stop_ratio"),
-        listed_ratio(c, code, flagged).alias("flagged_ratio"),
-    )
+    lists = [{k: frozenset(v.split() if isinstance(v, str) else v) for k, v in x.items()} for x in (stopwords, flagged)]
+
+    @F.pandas_udf(_METRICS)
+    def of(texts: pd.Series, langs: pd.Series, chars: pd.Series, words: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, low, k, n_chars, n_words in zip(texts, texts.str.lower(), langs, chars, words):
+            w = _words(low)
+            shares = [(min(1.0, sum(x in known[k] for x in w) / len(w)) if w else 0.0) if k in known else None for known in lists]
+            out.append((len(_words(t)), _character_repetition(t, int(n_chars)), _word_repetition(w, int(n_words)), *shares))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _METRICS.split(", ")]).astype({"stop_ratio": "float64", "flagged_ratio": "float64"})
+
+    measured = docs.withColumn("_m", of(c, code, by_language(code, "char_size"), by_language(code, "word_size")))
+    return measured.select(*docs.columns, "_m.number_words", "_m.character_repetition", "_m.word_repetition", special_ratio(c).alias("special_ratio"), "_m.stop_ratio", "_m.flagged_ratio")
+
+
+def threshold_metrics(docs: DataFrame, text: str = "text", lang: str = "lang", char_sizes: Sequence[int] = tuple(range(2, 16)), word_sizes: Sequence[int] = tuple(range(3, 11))) -> DataFrame:
+    """What thresholds are chosen by: all metrics to four digits, repetition for many sizes, and the words' flags.
+
+    ``character_repetitions`` and ``word_repetitions`` are maps by size; ``words`` holds each word with its
+    length and whether it has a bad substring.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    kind = "character_repetitions map<int,double>, word_repetitions map<int,double>"
+
+    @F.pandas_udf(kind)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, low in zip(texts, texts.str.lower()):
+            w = _words(low)
+            rows.append(({n: round(_character_repetition(t, n), 4) for n in char_sizes}, {n: round(_word_repetition(w, n), 4) for n in word_sizes}))
+        return pd.DataFrame(rows, columns=["character_repetitions", "word_repetitions"])
+
+    bad = lambda w: F.array_max(F.array(*(F.contains(w, F.lit(x)) for x in T.BAD_SUBSTRINGS)))
+    words = F.transform(T.words(c, strip_chars=_ASCII_SPECIAL), lambda w: F.struct(w.alias("word"), F.length(w).alias("length"), bad(w).alias("bad")))
+    m = metrics(docs, text, lang).withColumn("_r", of(c)).withColumn("words", words)
+    ratios = ("character_repetition", "word_repetition", "special_ratio", "stop_ratio", "flagged_ratio")
+    return m.select(*docs.columns, "number_words", *(F.round(r, 4).alias(r) for r in ratios), "_r.character_repetitions", "_r.word_repetitions", "words")
+
+
+def verdict(spark, text: str, lang: str, cutoff: Cutoffs | None = None) -> dict:
+    """All metrics of one text, and the first check that it fails under the language's or other cutoffs."""
+    row = metrics(spark.createDataFrame([(text, lang)], "text string, lang string")).first().asDict()
+    own = cutoff or cutoffs(lang)
+    fails = [n for n, m, c, least in CHECKS if row.get(m) is not None and (row[m] < getattr(own, c) if least else row[m] > getattr(own, c))]
+    return row | {"discard_reason": fails[0] if fails else None, "failed": fails}
 
 
 #: Checks in order, cheap ones first: name, metric, cutoff, and whether it is a lower bound.
@@ -212,13 +258,16 @@ def discard_analysis(filtered: DataFrame) -> DataFrame:
 def outlier_histogram(df: DataFrame, value: str, bins: int = 50, reach: float = 9.0) -> DataFrame:
     """Histogram of the values within ``reach`` median absolute deviations of the median."""
     v = F.col(value).cast("double")
-    middle = df.agg(F.median(v).alias("med"))
-    spread = df.crossJoin(F.broadcast(middle)).agg(F.first("med").alias("med"), F.median(F.abs(v - F.col("med"))).alias("mad"))
-    kept = df.select(v.alias("v")).crossJoin(F.broadcast(spread)).where((F.col("med") == 0) | (F.abs(F.col("v") - F.col("med")) < reach * F.col("mad"))).select("v")
-    edges = kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wide = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(wide > 0, F.least(F.floor((F.col("v") - F.col("lo")) / wide), F.lit(bins - 1))).otherwise(F.lit(0))
-    return kept.crossJoin(F.broadcast(edges)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    middle = percentiles(df, value, {"med": 0.5}).first()
+    med = middle["med"] if middle else None
+    if med is None:
+        return df.select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
+    spread = percentiles(df.select(F.abs(v - med).alias("away")), "away", {"mad": 0.5}).first()["mad"]
+    kept = df.select(v.alias("v")).where(F.col("v").isNotNull() & (F.lit(med == 0) | (F.abs(F.col("v") - med) < reach * spread)))
+    edges = kept.agg(F.min("v"), F.max("v")).first()  # two numbers
+    lo, wide = edges[0], ((edges[1] or 0) - (edges[0] or 0)) / bins
+    at = F.least(F.floor((F.col("v") - lo) / wide), F.lit(bins - 1)) if wide else F.lit(0)
+    return kept.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def zipf(docs: DataFrame, text: str = "text", top: int = 100) -> DataFrame:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
+from .dedup import join_hot
 
 #: Short lists of our own, of equal length; a user passes others.
 LANGUAGE_WORDS = {
@@ -59,12 +64,136 @@ def identify_by_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return sums.groupBy(id_col).agg(best, F.sum("n").alias("n")).select(id_col, F.col("b.lang").alias("pred_lang"), (F.col("b.s") / F.col("n")).alias("pred_score"))
 
 
+# -- a trained identifier ---------------------------------------------------------------
+
+#: Characters of a gram, and grams that a model keeps of each language, its most frequent ones.
+GRAM, GRAMS = 3, 4000
+LID = "array<struct<score:double,lang:string>>"
+
+
+def train_identifier(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = GRAMS) -> DataFrame:
+    """Naive Bayes over character grams: lang, gram, logp; gram null stands for any other.
+
+    Texts are lower case, line ends are blanks. Of each language the ``size`` most frequent grams
+    count (a parameter of the model), with add-one smoothing over the grams of all languages.
+    """
+    clean = F.lower(F.regexp_replace(F.col(text), "[\n\t ]+", " "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("_t") - (GRAM - 1)), lambda i: F.substr(F.col("_t"), i, F.lit(GRAM)))
+    each = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), clean.alias("_t")).where(F.length("_t") >= GRAM).select("lang", F.explode(grams).alias("gram"))
+    counts = each.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= size).drop("_r")
+    kept = materialize(kept, "gram-counts")  # size grams a language
+    known = kept.select("gram").distinct()
+    total = kept.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("v", F.lit(known.count()))
+    rows = kept.unionByName(total.select("lang", F.lit(None).cast("string").alias("gram"), F.lit(0).cast("long").alias("n")))
+    return rows.join(total, "lang").select("lang", "gram", F.log((F.col("n") + 1) / (F.col("total") + F.col("v") + 1)).alias("logp"))
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and 63-bit code of every gram."""
+    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if len(data) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = data[: len(data) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        code = code << 21 | data[k : len(data) - GRAM + 1 + k]
+    of, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    ok = np.flatnonzero(left[: len(code)] >= GRAM)
+    return of[ok], code[ok]
+
+
+def identifier_scores(c: Column, model: DataFrame) -> Column:
+    """array<struct<score, lang>>, best first: each language's share by the mean log probability of the grams.
+
+    Shares are those of exp(10 * mean), rounded to two digits; equal ones are in the order of the name; a
+    text without a gram has all alike. The model, ``GRAMS`` rows a language, goes to the workers.
+    """
+    rows = model.collect()
+    names = sorted({r["lang"] for r in rows})
+    code = lambda g: sum(ord(x) << 21 * (GRAM - 1 - i) for i, x in enumerate(g))
+    keys = np.array(sorted({code(r["gram"]) for r in rows if r["gram"] is not None}), np.int64)
+    table = np.zeros((len(keys) + 1, len(names)))
+    for r in rows:
+        if r["gram"] is None:
+            table[:, names.index(r["lang"])] = r["logp"]
+    for r in rows:
+        if r["gram"] is not None:
+            table[np.searchsorted(keys, code(r["gram"])), names.index(r["lang"])] = r["logp"]
+
+    @F.pandas_udf(LID)
+    def of(texts: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(texts), 500):
+            part = [t or "" for t in texts[at : at + 500]]
+            doc, codes = _codes(part)
+            place = np.minimum(np.searchsorted(keys, codes), max(0, len(keys) - 1))
+            place = np.where(keys[place] == codes, place, len(keys)) if len(keys) else np.zeros(len(codes), np.int64)
+            n = np.bincount(doc, minlength=len(part))
+            mean = np.stack([np.bincount(doc, table[place, k], len(part)) for k in range(len(names))], axis=1) / np.maximum(n, 1)[:, None] if names else np.zeros((len(part), 0))
+            share = np.exp(10 * (mean - mean.max(axis=1, keepdims=True))) if names else mean
+            share = np.round(share / share.sum(axis=1, keepdims=True), 2) if names else mean
+            out += [[{"score": float(s), "lang": k} for s, k in sorted(zip(row, names), key=lambda x: (-x[0], x[1]))] for row in share]
+        return pd.Series(out)
+
+    return of(F.lower(F.regexp_replace(c, "[\n\t ]+", " ")))
+
+
+def identify_with(docs: DataFrame, model: DataFrame, text: str = "text", top: int = 1, least: float = 0.0, only: str | None = None) -> DataFrame:
+    """As ``identify``, by a trained model; ``only`` keeps one language's rows."""
+    scored = docs.withColumn("_l", identifier_scores(F.col(text), model))
+    if top == 1:
+        out = scored.withColumn("pred_lang", F.col("_l")[0]["lang"]).withColumn("pred_score", F.col("_l")[0]["score"]).drop("_l").where(F.col("pred_score") >= least)
+        return out.where(F.col("pred_lang") == only) if only else out
+    kept = scored.withColumn("_l", F.filter(F.slice("_l", 1, top), lambda x: x["score"] >= least)).where(F.size("_l") > 0)
+    return kept.withColumn("pred_langs", F.map_from_arrays(F.transform("_l", lambda x: x["lang"]), F.transform("_l", lambda x: x["score"]))).drop("_l")
+
+
+def annotate_languages(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A document's language and score, and those of each line with its length: id, lang, score, on_lines."""
+    each = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("id_line", "line")).withColumn("l", identifier_scores(F.col("line"), model)[0])
+    item = F.struct("id_line", F.length("line").alias("n_chars"), F.col("l.lang").alias("lang"), F.col("l.score").alias("score"))
+    lines = each.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("on_lines"))
+    whole = docs.select(id_col, identifier_scores(F.col(text), model)[0].alias("l")).select(id_col, F.col("l.lang").alias("lang"), F.col("l.score").alias("score"))
+    return whole.join(lines, id_col, "left")
+
+
+def disagreement(docs: DataFrame, lang: str = "lang", pred: str = "pred_lang") -> DataFrame:
+    """Rows, and how many of them got another language than they had."""
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(lang) != F.col(pred)).alias("differ"))
+
+
+# -- n-gram models -----------------------------------------------------------------------
+
+
 def tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group: str | None = None) -> DataFrame:
     """One row a token: id (and group), pos, token, of the normalized text."""
     by = [group] if group else []
     return docs.select(id_col, *by, F.posexplode(T.split_words(T.normalize(F.col(text)))).alias("pos", "token"))
 
 
+def word_counts(words: Column) -> Column:
+    """array<struct<word, n>>: how often each item of an array comes, counted within the row."""
+
+    @F.pandas_udf("array<struct<word:string,n:long>>")
+    def of(rows: pd.Series) -> pd.Series:
+        out = []
+        for t in rows:
+            count: dict[str, int] = {}
+            for w in t.replace("\n", " ").replace("\t", " ").split(" ") if t else ():
+                if w:
+                    count[w] = count.get(w, 0) + 1
+            out.append([{"word": w, "n": n} for w, n in count.items()])
+        return pd.Series(out)
+
+    return of(words)
+
+
+def counted_words(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """A row a document and distinct word of its normalized text: the columns, word, n. Nothing is shuffled."""
+    return docs.select(*columns, F.explode(word_counts(T.normalize(F.col(text)))).alias("c")).select(*columns, "c.word", "c.n")
+
+
 def ngram_counts(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     grams = docs.select(F.explode(T.ngrams(T.split_words(T.normalize(F.col(text))), size)).alias("ngram"))
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
@@ -77,16 +206,148 @@ def continuation_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = 65536) -> DataFrame:
-    counts = docs.select(F.explode(T.split_words(T.normalize(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted_words(docs, [], text).groupBy("word").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "word").limit(size)
 
 
 def train_unigram(docs: DataFrame, text: str = "text", group: str = "lang") -> DataFrame:
     """log10 probability of each word of a group with add-one smoothing; word null stands for any other."""
-    counts = docs.select(F.col(group), F.explode(T.split_words(T.normalize(F.col(text)))).alias("word")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
+    return unigram_of(counted_words(docs, [group], text), group)
+
+
+def unigram_of(counted: DataFrame, group: str = "lang") -> DataFrame:
+    """The same from the words of each document, counted already."""
+    counts = counted.groupBy(group, "word").agg(F.sum("n").alias("n"))
     total = counts.groupBy(group).agg((F.sum("n") + F.count(F.lit(1)) + 1).cast("double").alias("total"))
     rows = counts.unionByName(total.select(group, F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("n")))
-    return rows.join(total, group).select(group, "word", F.log10((F.col("n") + 1) / F.col("total")).alias("logp"))
+    return rows.join(total, group).select(group, "word", F.log10((F.col("n") + 1) / F.col("total")).alias("logp"), "n")
+
+
+DISCOUNT = 0.75
+
+
+def _grams(docs: DataFrame, group: str, text: str, pieces: Column | None = None) -> DataFrame:
+    """A row a place: group, and the word with the two before it, a sentence's bounds included."""
+    words = F.split(F.concat(F.lit("<s> <s> "), F.array_join(T.split_words(T.normalize(F.col(text))) if pieces is None else pieces, " "), F.lit(" </s>")), " +")
+    at = F.transform(F.sequence(F.lit(3), F.size("_w")), lambda i: F.struct(F.element_at("_w", i - 2).alias("u"), F.element_at("_w", i - 1).alias("v"), F.element_at("_w", i).alias("w")))
+    return docs.select("*", words.alias("_w")).where(F.size("_w") > 3).withColumn("_g", F.explode(at)).select(*(c for c in docs.columns if c != text), "_g.u", "_g.v", "_g.w")
+
+
+def train_trigrams(docs: DataFrame, text: str = "text", group: str = "lang", discount: float = DISCOUNT) -> dict[str, DataFrame]:
+    """Interpolated Kneser-Ney of order 3, a model for each group, as tables that grow with the corpus.
+
+    ``three``: (u, v, w) and its discounted share; ``two``: (v, w) the same over continuations; ``one``: w's
+    share of all continuations; ``back3`` and ``back2``: what a context leaves to the lower order;
+    ``other``: the share of a word that wasn't seen.
+    """
+    places = _grams(docs.select(group, text), group, text)
+    c3 = materialize(places.groupBy(group, "u", "v", "w").agg(F.count(F.lit(1)).alias("n")), "lm-3")
+    c2 = materialize(c3.groupBy(group, "v", "w").agg(F.count(F.lit(1)).alias("n")), "lm-2")
+    c1 = materialize(c2.groupBy(group, "w").agg(F.count(F.lit(1)).alias("n")), "lm-1")
+
+    def shares(counts: DataFrame, context: list[str], word: str) -> tuple[DataFrame, DataFrame]:
+        left = counts.groupBy(group, *context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        joined = counts.join(left, [group, *context])
+        return joined.select(group, *context, word, ((F.col("n") - discount) / F.col("total")).alias("p")), left.select(group, *context, (F.col("kinds") * discount / F.col("total")).alias("back"))
+
+    three, back3 = shares(c3, ["u", "v"], "w")
+    two, back2 = shares(c2, ["v"], "w")
+    all_ = c1.groupBy(group).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    # the unigrams leave a discounted share for all words of the vocabulary and one unseen word
+    one = c1.join(all_, group).select(group, "w", ((F.col("n") - discount) / F.col("total") + F.col("kinds") * discount / F.col("total") / (F.col("kinds") + 1)).alias("p"))
+    other = all_.select(group, (F.col("kinds") * discount / F.col("total") / (F.col("kinds") + 1)).alias("p"))
+    return {"three": three, "back3": back3, "two": two, "back2": back2, "one": one, "other": other}
+
+
+def trigram_logp(docs: DataFrame, model: dict[str, DataFrame], keys: list[str], text: str = "text", group: str = "lang") -> DataFrame:
+    """Keys, sum of log10 p, and number of places: words and the end of the text."""
+    places = materialize(_grams(docs.select(*keys, *([group] if group not in keys else []), text), group, text).groupBy(*keys, *([group] if group not in keys else []), "u", "v", "w").agg(F.count(F.lit(1)).alias("k")), "lm-places")
+    # each kind of place is scored once, however many documents have it
+    kinds = places.select(group, "u", "v", "w").distinct()
+    name = lambda df, p: df.withColumnRenamed("p", p).withColumnRenamed("back", p)
+    scored = (
+        kinds.join(name(model["three"], "p3"), [group, "u", "v", "w"], "left").join(name(model["back3"], "b3"), [group, "u", "v"], "left")
+        .join(name(model["two"], "p2"), [group, "v", "w"], "left").join(name(model["back2"], "b2"), [group, "v"], "left")
+        .join(name(model["one"], "p1"), [group, "w"], "left").join(F.broadcast(name(model["other"], "p0")), group)
+    )
+    lower = F.coalesce("p2", F.lit(0.0)) + F.coalesce("b2", F.lit(1.0)) * F.coalesce("p1", "p0")
+    p = F.coalesce("p3", F.lit(0.0)) + F.coalesce("b3", F.lit(1.0)) * lower
+    return places.join(scored.select(group, "u", "v", "w", F.log10(p).alias("logp")), [group, "u", "v", "w"]).groupBy(*keys).agg(F.sum(F.col("k") * F.col("logp")).alias("logp"), F.sum("k").alias("places"))
+
+
+def trigram_perplexity(docs: DataFrame, model: dict[str, DataFrame], id_col: str = "doc_id", text: str = "text", group: str = "lang") -> DataFrame:
+    """Perplexity of each document under its group's model, to one digit; null without a model or word."""
+    scored = trigram_logp(docs, model, [id_col], text, group)
+    return docs.select(id_col, group).join(scored, id_col, "left").select(id_col, group, F.round(F.pow(F.lit(10.0), -F.col("logp") / F.col("places")), 1).alias("perplexity"))
+
+
+def sentence_perplexity(docs: DataFrame, model: dict[str, DataFrame], id_col: str = "doc_id", text: str = "text", group: str = "lang") -> DataFrame:
+    """id, pos, sentence and perplexity of each line that has a word and a model."""
+    each = docs.select(id_col, group, F.posexplode(F.split(text, "\n")).alias("pos", "sentence"))
+    scored = trigram_logp(each, model, [id_col, "pos"], "sentence", group)
+    return each.join(scored, [id_col, "pos"]).select(id_col, "pos", "sentence", F.round(F.pow(F.lit(10.0), -F.col("logp") / F.col("places")), 1).alias("perplexity"))
+
+
+def mine_sentences(docs: DataFrame, model: dict[str, DataFrame], most: float, id_col: str = "doc_id", text: str = "text", group: str = "lang") -> DataFrame:
+    """Sentences that a model finds likely: 0 < perplexity < ``most``, each once by its normalized wording.
+
+    Sentences end at end signs and lines. The perplexity is per word, the end of a sentence not counted.
+    """
+    parts = F.flatten(F.transform(F.split(text, "\n"), T.sentences))
+    each = docs.select(id_col, group, F.posexplode(parts).alias("pos", "sentence")).withColumn("sentence", T.strip(F.col("sentence"))).where("sentence <> ''").withColumn("key", T.normalize(F.col("sentence"))).where("key <> ''")
+    first = each.groupBy(group, F.md5(F.col("key").cast("binary")).alias("h")).agg(F.min(F.struct(id_col, "pos", "sentence")).alias("x")).select(group, "x.*")
+    first = materialize(first, "sentences")
+    scored = trigram_logp(first, model, [id_col, "pos"], "sentence", group)
+    value = F.round(F.pow(F.lit(10.0), -F.col("logp") / (F.col("places") - 1)), 1)
+    return first.join(scored, [id_col, "pos"]).select(id_col, "pos", "sentence", value.alias("perplexity")).where((F.col("perplexity") > 0) & (F.col("perplexity") < most))
+
+
+def perplexity_histogram(scored: DataFrame, value: str = "perplexity", most: float = 2000.0, bins: int = 50) -> DataFrame:
+    """Counts of equal bins of the values from 0 and below ``most``."""
+    v = F.col(value)
+    return scored.where((v >= 0) & (v < most)).groupBy(F.floor(v / (most / bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def classify_and_split(docs: DataFrame, model: DataFrame, path: str, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows by predicted language, written to a folder each, and read back."""
+    identify_with(docs, model, text, least=least).write.partitionBy("pred_lang").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def project(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dimensions: int = 2) -> DataFrame:
+    """Principal components of vectors: id and pc1, pc2, .., each scaled to 0..255.
+
+    Sums of products are made by the tasks; the driver gets one matrix as wide as the vectors. Signs
+    are such that the largest weight of a component is positive. Vectors that are null or hold nulls
+    are left out.
+    """
+    x = F.col(vector_col).cast("array<double>")
+    rows = vectors.where(F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda v: v.isNull())).select(id_col, x.alias("x"))
+    wide = rows.agg(F.max(F.size("x"))).first()[0] or 0
+
+    def moments(batches):
+        n, total, square = 0, np.zeros(wide), np.zeros((wide, wide))
+        for pdf in batches:
+            if len(pdf):
+                data = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+                n, total, square = n + len(data), total + data.sum(axis=0), square + data.T @ data
+        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "square": [square.ravel().tolist()]})
+
+    parts = rows.select("x").mapInPandas(moments, "n long, total array<double>, square array<double>")
+    # one row a task, summed in a tree of partial sums by place
+    n = parts.agg(F.sum("n")).first()[0] or 0
+    sums = {name: np.array([r["s"] for r in parts.select(F.posexplode(name).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).orderBy("i").collect()]) for name in ("total", "square")} if n else {}
+    if not n:
+        return rows.select(id_col, *(F.lit(None).cast("double").alias(f"pc{k + 1}") for k in range(dimensions)))
+    mean = sums["total"] / n
+    _, axes = np.linalg.eigh(sums["square"].reshape(wide, wide) / n - np.outer(mean, mean))
+    axes = axes[:, ::-1][:, :dimensions]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    value = lambda k: F.aggregate(F.zip_with("x", F.array(*map(F.lit, axes[:, k].tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - float(mean @ axes[:, k])
+    placed = materialize(rows.select(id_col, *(value(k).alias(f"pc{k + 1}") for k in range(axes.shape[1]))), "projected")
+    edges = placed.agg(*(f(f"pc{k + 1}").alias(f"{f.__name__}{k}") for k in range(axes.shape[1]) for f in (F.min, F.max))).first()
+    scale = lambda k: F.when(F.lit(edges[f"max{k}"] > edges[f"min{k}"]), (F.col(f"pc{k + 1}") - edges[f"min{k}"]) / (edges[f"max{k}"] - edges[f"min{k}"]) * 255).otherwise(0.0)
+    return placed.select(id_col, *(F.round(scale(k), 3).alias(f"pc{k + 1}") for k in range(axes.shape[1])))
 
 
 def perplexity(logp: Column, length: Column) -> Column:
@@ -94,15 +355,18 @@ def perplexity(logp: Column, length: Column) -> Column:
     return F.pow(F.lit(10.0), -logp / (length + 1))
 
 
-def document_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str = "text", group: str = "lang") -> DataFrame:
+def document_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str = "text", group: str = "lang", counted: DataFrame | None = None) -> DataFrame:
     """Perplexity of each document under its group's model, to one digit; null without a model or word.
 
-    Tokens are counted by document before they meet the model, so frequent words shuffle little.
+    Words are counted within a document before anything is shuffled (or handed in, ``counted``). Words
+    that a large part of the documents has are few, and their row of the model is broadcast.
     """
-    known = model.where("word IS NOT NULL")
     other = model.where("word IS NULL").select(group, F.col("logp").alias("other"))
-    counted = tokens(docs, id_col, text, group).groupBy(id_col, group, F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    scored = counted.join(known, [group, "word"], "left").join(other, group).groupBy(id_col).agg(F.sum(F.col("n") * F.coalesce("logp", "other")).alias("s"), F.sum("n").alias("n"))
+    counted = materialize(counted_words(docs, [id_col, group], text), "lm-words") if counted is None else counted
+    known = materialize(model.where("word IS NOT NULL"), "lm-model")
+    met = counted.groupBy(group, "word").agg(F.count(F.lit(1)).alias("docs")).join(known.select(group, "word", "logp"), [group, "word"], "left")
+    met = materialize(met, "lm-met")
+    scored = join_hot(counted, met, [group, "word"], "docs", counted.count()).join(F.broadcast(other), group).groupBy(id_col).agg(F.sum(F.col("n") * F.coalesce("logp", "other")).alias("s"), F.sum("n").alias("n"))
     return docs.select(id_col, group).join(scored, id_col, "left").select(id_col, group, F.round(perplexity(F.col("s"), F.col("n")), 1).alias("perplexity"))
 
 
@@ -114,7 +378,10 @@ def bucket(scored: DataFrame, cutoffs: DataFrame, group: str = "lang", value: st
 
 
 def percentile_cutoffs(scored: DataFrame, group: str = "lang", value: str = "perplexity") -> DataFrame:
-    return scored.groupBy(group).agg(F.percentile(value, F.lit(0.3)).alias("p30"), F.percentile(value, F.lit(0.6)).alias("p60"))
+    """The exact 30th and 60th percentile of each group: values are counted first, so a task sees each value once."""
+    from .profile import percentiles
+
+    return percentiles(scored, value, {"p30": 0.3, "p60": 0.6}, group)
 
 
 def keep_languages(docs: DataFrame, lang: str = "lang", keep: tuple[str, ...] = (), ban: tuple[str, ...] = ()) -> DataFrame:

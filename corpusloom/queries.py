@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import crawl, dedup, filters, language, pii, profile, sampling, search
+from .operators import crawl, dedup, filters, language, numbering, pii, profile, projections, sampling, search
 from .plans import pipelines
 from .sources import readers, sinks
-from .storage import materialize, shared_path, table
+from .storage import materialize, shared_path, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,11 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages"))
 
 
 def on_text(name: str, f: Callable, sql: str, out: str = "out") -> None:
@@ -93,19 +97,19 @@ on_text("f07_normalize", T.normalize, _normalize("text"))
 on_text("f08_normalization", T.normalization, _replace_punct(_zero(f"translate(lower({_strip(f'regexp_replace(text, {_CTRL}, {q(str())}, {q(chr(103))})')}), {q(T.ODD_SPACES)}, '{' ' * len(T.ODD_SPACES)}')")))
 on_text("f09_normalize_for_dedup", T.normalize_for_dedup, f"regexp_replace(translate({_zero(f'lower({_strip(chr(116) + chr(101) + chr(120) + chr(116))})')}, {q(T.PUNCT_ALL)}, ''), {_CTRL}, '', 'g')")
 on_text("f13_split_words", lambda c: F.array_join(T.split_words(c), "|"), f"array_to_string({_split('text')}, '|')")
-on_text("f14_strip_characters", lambda c: F.btrim(c, F.lit(filters._ASCII_SPECIAL)), f"trim(text, {_ASCII})")
+on_text("f14_strip_characters", lambda c: T.strip_characters(c, filters._ASCII_SPECIAL), f"trim(text, {_ASCII})")
 on_text("f15_words", lambda c: F.array_join(T.words(c, True, filters._ASCII_SPECIAL), "|"), f"array_to_string({_words('lower(text)')}, '|')")
-on_text("f16_word_ngrams", lambda c: F.size(T.ngrams(T.split_words(c), 2)).cast("long"), f"greatest(len({_split('text')}) - 1, 0)::BIGINT")
+on_text("f16_word_ngrams", lambda c: F.array_join(T.ngrams(T.split_words(c), 2), "|"), f"array_to_string({_grams(_split('text'), 2)}, '|')")
 on_text("f17_split_and_merge", lambda c: T.drop_words(c, lambda w: F.lit(True)), r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: array_to_string(list_filter(list_transform(string_split(s, chr(9)), lambda t: array_to_string(list_filter(string_split(t, ' '), lambda w: w <> ''), ' ')), lambda t: t <> ''), chr(9))), lambda s: s <> ''), chr(10))")
 _KEEP_BAD = " AND ".join(f"NOT contains(trim(w, {_ASCII}), '{b}')" for b in T.BAD_SUBSTRINGS)
 _NEST = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: array_to_string(list_filter(list_transform(string_split(s, chr(9)), lambda t: array_to_string(list_filter(string_split(t, ' '), lambda w: w <> '' AND {}), ' ')), lambda t: t <> ''), chr(9))), lambda s: s <> ''), chr(10))"
 on_text("f18_drop_bad_words", lambda c: T.drop_bad_words(c, filters._ASCII_SPECIAL), _NEST.format(_KEEP_BAD))
 on_text("f19_drop_long_words", lambda c: T.drop_long_words(c, 25, filters._ASCII_SPECIAL), _NEST.format(f"(length(w) <= 25 OR (trim(w, {_ASCII}) <> '' AND length(trim(w, {_ASCII})) <= 25))"))
-on_text("f22_sentences", lambda c: F.size(T.sentences(c)).cast("long"), r"CASE WHEN text = '' THEN 0 ELSE 1 + len(regexp_extract_all(text || ' ', '[.!?．。]\s[^\s]')) END::BIGINT")
+on_text("f22_sentences", lambda c: F.array_join(T.sentences(c), "|"), r"regexp_replace(text, '([.!?．。]\s)([^\s])', '\1|\2', 'g')")
 on_text("f23_normalize_context", T.normalize_context, f"lower({_strip(f'regexp_replace(text, {q(_WS + chr(43))}, {q(chr(32))}, {q(chr(103))})')})")
 on_text("f25_line_hashes", T.line_hashes32, f"base64(unhex(array_to_string(list_transform(string_split(text, chr(10)), lambda l: substr({_key('l')}, 1, 8)), '')))")
 on_text("f26_line_ids", lambda c: T.line_ids_base64(F.sequence(F.lit(0), F.size(F.split(c, "\n")) - 1)), "base64(unhex(array_to_string(list_transform(range(0, len(string_split(text, chr(10)))), lambda i: printf('%02X%02X', i % 256, i // 256)), '')))")
-on_text("f32_substring_text", lambda c: F.replace(c, F.lit("\n"), F.lit(" ")), "replace(text, chr(10), ' ')")
+on_text("f32_substring_text", T.one_line, "replace(text, chr(10), ' ')")
 
 
 @query("f10_spacing")
@@ -127,17 +131,17 @@ _SURT = rf"array_to_string(list_reverse(string_split(regexp_replace({_HOST}, '^w
 @query("f28_url_parts", f"SELECT page_id, {_HOST} AS host, {_DOMAIN} AS domain, {_SURT} AS surt FROM pages")
 def _(s, d):
     u = F.col("url")
-    return table(s, d, "pages").select("page_id", T.url_host(u).alias("host"), T.registered_domain(T.url_host(u)).alias("domain"), T.surt(u).alias("surt"))
+    return pages(s, d).select("page_id", T.url_host(u).alias("host"), T.registered_domain(T.url_host(u)).alias("domain"), T.surt(u).alias("surt"))
 
 
 @query("f29_html_lang", r"""SELECT page_id, nullif(regexp_extract(html, '(?i)<html[^>]*?\blang\s*=\s*["'']?([A-Za-z0-9-]+)', 1), '') AS lang FROM pages""")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", T.html_lang(F.col("html")).alias("lang"))
+    return pages(s, d).select("page_id", T.html_lang(F.col("html")).alias("lang"))
 
 
 @query("f31_sentence_frame", "SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS sentence FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def _(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "sentence"))
+    return dedup.sentence_frame(docs(s, d))
 
 
 # -- readers and sinks -----------------------------------------------------------
@@ -161,29 +165,24 @@ def _(s, d):
 
 @query("s08_shard_segments", "SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS r, count(*) OVER () AS n FROM pages) WHERE r >= 1 * n // 3 AND r < 2 * n // 3")
 def _(s, d):
-    return readers.shard_segments(table(s, d, "pages").select("page_id"), "page_id", 1, 3)
+    return readers.shard_segments(pages(s, d).select("page_id"), "page_id", 1, 3)
 
 
 @query("s15_index_partition", "SELECT page_id, url FROM pages WHERE page_id % 3 = 0")
 def _(s, d):
     path = shared_path(s, "index")
-    pages = table(s, d, "pages").select("page_id", "url", F.lit("CC-1").alias("crawl"), F.when(F.col("page_id") % 3 == 0, "warc").otherwise("robotstxt").alias("subset"))
-    pages.write.partitionBy("crawl", "subset").parquet(path)
+    rows = pages(s, d).select("page_id", "url", F.lit("CC-1").alias("crawl"), F.when(F.col("page_id") % 3 == 0, "warc").otherwise("robotstxt").alias("subset"))
+    rows.write.partitionBy("crawl", "subset").parquet(path)
     return readers.read_index(s, path).select("page_id", "url")
 
 
 @query("s18_seed_list", "SELECT url AS link, (row_number() OVER (ORDER BY url) - 1)::INTEGER AS seed_id FROM pages")
 def _(s, d):
     path = shared_path(s, "seeds")
-    table(s, d, "pages").select(F.col("url").alias("link")).write.option("header", True).csv(path)
+    pages(s, d).select(F.col("url").alias("link")).write.option("header", True).csv(path)
     return readers.read_seeds(s, path)
 
 
-@query("s23_size_report", "SELECT event_type = 'click' AS html, count(*) AS n FROM events GROUP BY 1")
-def _(s, d):
-    return sinks.partition_counts(table(s, d, "events").select((F.col("event_type") == "click").alias("html")), "html")
-
-
 @query("k04_split_by_value", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def _(s, d):
     path = shared_path(s, "split")
@@ -201,9 +200,9 @@ def _(s, d):
     return sinks.shard_rows(docs(s, d), "doc_id", 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k08_shard_count", "SELECT source, greatest(1, ceil(sum(strlen(text)) / 10000))::BIGINT AS shards FROM documents GROUP BY 1")
+@query("k08_shard_count", "SELECT greatest(1, ceil(sum(strlen(text)) / 10000))::BIGINT AS shards FROM documents")
 def _(s, d):
-    return docs(s, d).groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / 10_000)).alias("shards"))
+    return s.range(1).select(F.lit(sinks.shard_count(docs(s, d), "text", 10_000)).cast("long").alias("shards"))
 
 
 @query("k14_minify", "SELECT doc_id, printf('%.2f', round(n_chars / 7.0, 2)) AS score, base64(unhex(array_to_string(list_transform(range(0, len(string_split(text, chr(10)))), lambda i: printf('%02X%02X', i % 256, i // 256)), ''))) AS line_ids FROM documents")
@@ -238,21 +237,19 @@ def _(s, d):
 
 @query("p09_meta_json", """SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS meta FROM documents""")
 def _(s, d):
-    return docs(s, d).select("doc_id", F.to_json(F.struct("lang", "source")).alias("meta"))
+    return docs(s, d).select("doc_id", projections.meta(["lang", "source"], as_json=True).alias("meta"))
 
 
 @query("p10_row_id", "SELECT page_id, (row_number() OVER (ORDER BY url, page_id) - 1)::BIGINT AS row_id FROM pages")
 def _(s, d):
-    from pyspark.sql import Window as W
+    return numbering.number_rows(pages(s, d).select("page_id", "url"), "url", "page_id").select("page_id", "row_id")
 
-    return table(s, d, "pages").select("page_id", (F.row_number().over(W.orderBy("url", "page_id")) - 1).cast("long").alias("row_id"))
 
-
-@query("p12_depth", "SELECT DISTINCT event_type, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS depth FROM events")
+@query("p12_depth", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 0 WHEN 3 THEN NULL ELSE page_id % 4 * 11 END::INTEGER AS depth FROM pages")
 def _(s, d):
-    name = F.when(F.col("event_type") == "view", "seed").otherwise("intermediate_depth_1")
-    depth = F.when(name == "seed", 0).otherwise(F.regexp_extract(name, r"_(\d+)$", 1).cast("int"))
-    return table(s, d, "events").select("event_type", depth.alias("depth")).distinct()
+    k = F.col("page_id") % 4
+    name = F.when(k == 0, F.lit("seed")).when(k == 3, F.lit("other")).otherwise(F.concat(F.lit("intermediate_depth_"), (k * 11).cast("string")))
+    return pages(s, d).select("page_id", projections.depth_of(name).alias("depth"))
 
 
 # -- filters ------------------------------------------------------------------------
@@ -367,70 +364,106 @@ def _(s, d):
 
 _BOILER = f"""pages AS (SELECT source, text, min(doc_id) AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 10000 GROUP BY 1, 2),
 skip AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}))) AS line FROM pages) JOIN (SELECT source, count(*) AS pages FROM pages GROUP BY 1) USING (source)
-  GROUP BY source, line, pages HAVING count(*) > greatest(2.0, pages * 0.01))"""
+  GROUP BY source, line, pages HAVING count(*) > greatest(10.0, pages * 0.01))"""
 
 
 @query("d09_boilerplate_lines", f"WITH {_BOILER} SELECT * FROM skip")
 def _(s, d):
-    return dedup.boilerplate_lines(docs(s, d), "source", least=2)
+    return dedup.boilerplate_lines(docs(s, d), "source")
 
 
 @query("d12_drop_boilerplate", f"WITH {_BOILER}, l AS (SELECT source, doc_id, (generate_subscripts(l, 1) - 1) AS pos, unnest(l) AS line FROM (SELECT source, doc_id, list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}) AS l FROM documents)) SELECT * FROM (SELECT doc_id, {_strip('string_agg(line, chr(10) ORDER BY pos)')} AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM skip WHERE skip.source = l.source AND skip.line = l.line) GROUP BY 1) WHERE length(text) > 32")
 def _(s, d):
     x = docs(s, d)
-    return dedup.drop_boilerplate(x, dedup.boilerplate_lines(x, "source", least=2), "source").select("doc_id", "text")
+    return dedup.drop_boilerplate(x, dedup.boilerplate_lines(x, "source"), "source").select("doc_id", "text")
+
+
+_SIMHASH = f"""w AS (SELECT doc_id, {_split('lower(text)')} AS w FROM documents), t AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 5), lambda i: ('0x' || substr(md5(array_to_string(w[i : i + 5], ' ')), 1, 16))::UBIGINT)) AS k FROM w WHERE len(w) > 6),
+b AS (SELECT doc_id, ({' + '.join(f"CASE WHEN 2 * sum((k >> {i}) & 1) > count(*) THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))}) AS v FROM t GROUP BY 1),
+sim AS (SELECT doc_id, coalesce(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END, 0)::BIGINT AS h FROM documents LEFT JOIN b USING (doc_id))"""
+_HAMMING = "hs AS (SELECT DISTINCT h FROM sim), hp AS (SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM hs a JOIN hs b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 4)"
+_REP_PAIRS = "f AS (SELECT h, min(doc_id) AS x FROM sim GROUP BY 1), rp AS (SELECT least(p.x, r.x) AS id_a, greatest(p.x, r.x) AS id_b, distance FROM hp JOIN f p ON p.h = a JOIN f r ON r.h = b UNION ALL SELECT x, doc_id, 0 FROM sim JOIN f USING (h) WHERE x < doc_id)"
 
 
-@query("d15_simhash")
+@query("d15_simhash", f"WITH {_SIMHASH} SELECT * FROM sim")
 def _(s, d):
     return docs(s, d).select("doc_id", dedup.simhash(F.col("text")).alias("h"))
 
 
-_BITS = "SELECT event_id, (('0x' || substr(md5(event_id::VARCHAR), 1, 3))::BIGINT) AS h FROM events"
+def _hashes(s, d):
+    return materialize(docs(s, d).select("doc_id", dedup.simhash(F.col("text")).alias("h")), "simhash")
 
 
-def _bits(s, d):
-    return table(s, d, "events").select("event_id", F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 3), 16, 10).cast("long").alias("h"))
+@query("d16_hamming_pairs", f"WITH {_SIMHASH}, {_HAMMING} SELECT * FROM hp")
+def _(s, d):
+    return dedup.hamming_pairs(_hashes(s, d))
 
 
-@query("d16_hamming_pairs", f"WITH h AS (SELECT DISTINCT h FROM ({_BITS})) SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 1")
+@query("d17_document_pairs", f"WITH {_SIMHASH}, {_HAMMING} SELECT DISTINCT least(x.doc_id, y.doc_id) AS id_a, greatest(x.doc_id, y.doc_id) AS id_b, distance FROM hp JOIN sim x ON x.h = a JOIN sim y ON y.h = b")
 def _(s, d):
-    return dedup.hamming_pairs(_bits(s, d), most=1, blocks=16)
+    h = _hashes(s, d)
+    return dedup.document_pairs(dedup.hamming_pairs(h), h)
 
 
-@query("d17_document_pairs", f"WITH e AS ({_BITS}), p AS (SELECT DISTINCT a.h AS a, b.h AS b FROM e a JOIN e b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 1 AND a.event_id < 400 AND b.event_id < 400) SELECT least(x.event_id, y.event_id) AS id_a, greatest(x.event_id, y.event_id) AS id_b, 1 AS distance FROM p JOIN (SELECT * FROM e WHERE event_id < 400) x ON x.h = p.a JOIN (SELECT * FROM e WHERE event_id < 400) y ON y.h = p.b")
+@query("d17_simhash_pairs", f"WITH {_SIMHASH}, {_HAMMING}, {_REP_PAIRS} SELECT * FROM rp")
 def _(s, d):
-    h = _bits(s, d).where("event_id < 400")
-    return dedup.document_pairs(dedup.hamming_pairs(h, 1, 16), h, "event_id")
+    h = _hashes(s, d)
+    return dedup.representative_pairs(dedup.hamming_pairs(h), h)
 
 
-@query("d17_simhash_pairs")
+@query("d18_distance_histogram", f"WITH {_SIMHASH}, {_HAMMING}, {_REP_PAIRS} SELECT distance, count(*) AS n FROM rp GROUP BY 1")
 def _(s, d):
-    h = materialize(docs(s, d).select("doc_id", dedup.simhash(F.col("text")).alias("h")), "simhash")
-    return dedup.representative_pairs(dedup.hamming_pairs(h), h)
+    h = _hashes(s, d)
+    return dedup.distance_histogram(dedup.representative_pairs(dedup.hamming_pairs(h), h))
+
+
+@query("d18_distance_examples", f"WITH {_SIMHASH}, {_HAMMING}, {_REP_PAIRS}, e AS (SELECT *, row_number() OVER (PARTITION BY distance ORDER BY id_a, id_b) AS r FROM rp) SELECT distance, id_a, id_b, x.text AS text_a, y.text AS text_b FROM e JOIN documents x ON x.doc_id = id_a JOIN documents y ON y.doc_id = id_b WHERE r <= 3")
+def _(s, d):
+    h = _hashes(s, d)
+    return dedup.distance_examples(dedup.representative_pairs(dedup.hamming_pairs(h), h), docs(s, d))
 
 
 @query(
     "d19_components",
-    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 5 < 3), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM both_),
+    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE o_orderkey - o_orderkey % 7 + (o_orderkey % 7 * 5) % 7 END AS b FROM orders), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM both_),
 r(node, reach) AS (SELECT node, node FROM n UNION SELECT both_.b, reach FROM r JOIN both_ ON both_.a = r.node WHERE reach < both_.b + 100000)
 SELECT node, min(reach) AS label FROM r GROUP BY 1""",
 )
 def _(s, d):
     from .operators.components import components
 
-    e = table(s, d, "orders").where("o_orderkey % 5 < 3").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1 + F.col("o_orderkey") % 3).alias("b"))
+    e = table(s, d, "orders").select(F.col("o_orderkey").alias("a"), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey ELSE o_orderkey - o_orderkey % 7 + (o_orderkey % 7 * 5) % 7 END").alias("b"))
     return components(e)
 
 
-@query("d20_near_clusters")
+_CLUSTERS = f"WITH RECURSIVE {_SIMHASH}, {_HAMMING}, e AS (SELECT a, b FROM hp UNION SELECT b, a FROM hp), r(node, reach) AS (SELECT a, a FROM e UNION SELECT e.b, reach FROM r JOIN e ON e.a = r.node), cl AS (SELECT node, min(reach) AS label FROM r GROUP BY 1)"
+
+
+@query("d20_near_clusters", f"{_CLUSTERS} SELECT doc_id, h, label AS cluster FROM sim LEFT JOIN cl ON node = h")
 def _(s, d):
     return pipelines.near_dedup(docs(s, d))
 
 
-@query("d21_repeated_windows")
+@query("d20_cluster_report", f"{_CLUSTERS}, c AS (SELECT label, count(*) AS size, max(length(text))::INTEGER AS longest FROM sim JOIN cl ON node = h JOIN documents USING (doc_id) GROUP BY 1) SELECT size, count(*) AS clusters, max(longest) AS longest FROM c GROUP BY 1")
 def _(s, d):
-    return dedup.repeated_windows(docs(s, d))
+    x = docs(s, d)
+    return dedup.cluster_report(pipelines.near_dedup(x), x)
+
+
+@query("d20_with_exact", f"{_CLUSTERS}, tw AS (SELECT h FROM sim GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, sim.h AS h, coalesce(label, tw.h) AS cluster FROM sim LEFT JOIN cl ON node = sim.h LEFT JOIN tw ON tw.h = sim.h")
+def _(s, d):
+    h = _hashes(s, d)
+    return dedup.hash_clusters(dedup.hamming_pairs(h), h, include_exact=True)
+
+
+@query(
+    "d21_repeated_windows",
+    """WITH c AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 48), lambda i: {'p': i - 1, 'w': substr(text, i, 50)})) AS x FROM documents WHERE length(text) >= 50), r AS (SELECT x.w AS w FROM c GROUP BY 1 HAVING count(*) > 1),
+h AS (SELECT doc_id, x.p AS p FROM c WHERE x.w IN (SELECT w FROM r)), g AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS s FROM h), i AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g)
+SELECT doc_id, min(p)::INTEGER AS begin, (max(p) + 50)::INTEGER AS end FROM i GROUP BY doc_id, k""",
+)
+def _(s, d):
+    return dedup.repeated_windows(docs(s, d)).withColumn("begin", F.col("begin").cast("int")).withColumn("end", F.col("end").cast("int"))
 
 
 @query("d22_latest_capture", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
@@ -440,12 +473,12 @@ def _(s, d):
 
 @query("d23_seed_dedup", f"SELECT link, surt FROM (SELECT url AS link, {_SURT} AS surt, row_number() OVER (PARTITION BY {_SURT} ORDER BY url) AS r FROM pages) WHERE r = 1")
 def _(s, d):
-    return crawl.clean_seeds(table(s, d, "pages")).select("link", "surt")
+    return crawl.clean_seeds(pages(s, d)).select("link", "surt")
 
 
-@query("d24_sentence_dedup", f"WITH {_LINES} SELECT count(DISTINCT h) AS sentences FROM keyed")
+@query("d24_sentence_dedup", f"WITH {_LINES} SELECT h, min(doc_id) AS doc_id FROM keyed GROUP BY 1")
 def _(s, d):
-    return dedup.lines(docs(s, d)).dropDuplicates(["h"]).agg(F.count(F.lit(1)).alias("sentences"))
+    return dedup.lines(docs(s, d)).groupBy("h").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("d25_duplicate_counts", "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -458,12 +491,12 @@ def _(s, d):
 
 @query("i01_mask_pii")
 def _(s, d):
-    return docs(s, d).select("doc_id", pii.mask_pii(F.col("text"), "en", "any").alias("text"))
+    return docs(s, d).select("doc_id", pii.mask_pii(F.col("text"), F.col("lang"), "any").alias("text"))
 
 
 @query("i03_entities")
 def _(s, d):
-    return pii.entities(docs(s, d), lang="en", country="any")
+    return pii.entities(docs(s, d), lang=F.col("lang"), country="any")
 
 
 @query("i13_tasks")
@@ -471,6 +504,9 @@ def _(s, d):
     return pii.tasks(s)
 
 
+_EMAIL = r"[\p{L}\p{N}\p{M}_.=-]+@[\p{L}\p{N}\p{M}_.-]+\.[\p{L}\p{N}\p{M}_]{2,3}"
+
+
 @query("i16_mask_emails", r"SELECT doc_id, regexp_replace(text, '[\p{L}\p{N}\p{M}_.=-]+@[\p{L}\p{N}\p{M}_.-]+\.[\p{L}\p{N}\p{M}_]{2,3}', '<EMAIL_ADDRESS>', 'g') AS text FROM documents")
 def _(s, d):
     return docs(s, d).select("doc_id", pii.mask_emails(F.col("text")).alias("text"))
@@ -479,71 +515,75 @@ def _(s, d):
 _OCT = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 
 
-@query("i17_ip_addresses", rf"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:{_OCT}\.){{3}}{_OCT}\b')) AS v FROM documents) GROUP BY 1")
+@query(
+    "i17_ip_addresses",
+    rf"""WITH v AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '\b(?:{_OCT}\.){{3}}{_OCT}\b'))) AS v FROM documents), p AS (SELECT doc_id, v, unnest(string_split(text, v)) AS part, generate_subscripts(string_split(text, v), 1) AS i, len(string_split(text, v)) AS n FROM v),
+b AS (SELECT doc_id, v, i, part, lead(part) OVER (PARTITION BY doc_id, v ORDER BY i) AS after, n FROM p)
+SELECT doc_id, v AS value, count(*) AS n FROM b WHERE i < n AND (regexp_matches(lower(right(regexp_replace(part, '\s+', ' ', 'g'), 16)), '\bip\b') OR regexp_matches(lower(left(regexp_replace(after, '\s+', ' ', 'g'), 16)), '\bip\b')) GROUP BY 1, 2""",
+)
 def _(s, d):
-    bare = [pii.Detector("IP_ADDRESS", "ip address without context", next(x for x in pii.DETECTORS if x.type == "IP_ADDRESS").pattern)]
-    return pii.entities(docs(s, d), detectors=bare).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return pii.entities(docs(s, d), lang="en", types=("IP_ADDRESS",)).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("i31_anonymise")
 def _(s, d):
-    return docs(s, d).select("doc_id", pii.anonymise(F.col("text")).alias("a")).select("doc_id", "a.text", F.size("a.entities").alias("n"))
+    return docs(s, d).select("doc_id", pii.anonymise(F.col("text"), F.col("lang")).alias("a")).select("doc_id", "a.text", F.size("a.entities").alias("n"))
 
 
 # -- crawl ----------------------------------------------------------------------------------
 
 
+_HREFS = r"""list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']', 1))"""
+
+
 def _index(s, d):
     u = F.col("url")
-    return table(s, d, "pages").select("page_id", "url", "html", T.url_host(u).alias("host"), T.surt(u).alias("surt")).withColumn("domain", T.registered_domain(F.col("host")))
+    return pages(s, d).select("page_id", "url", "html", T.url_host(u).alias("host"), T.surt(u).alias("surt")).withColumn("domain", T.registered_domain(F.col("host")))
 
 
 _INDEX = f"SELECT page_id, url, html, {_HOST} AS host, {_SURT} AS surt, {_DOMAIN} AS domain FROM pages"
 
 
-@query("c01_seed_join", f"WITH i AS ({_INDEX}), s AS (SELECT page_id AS seed_id, domain, left(surt, length(surt) - 3) AS surt FROM i WHERE page_id % 10 = 0) SELECT i.page_id, s.seed_id FROM i JOIN s ON i.domain = s.domain AND starts_with(i.surt, s.surt)")
+@query("c01_seed_join", f"WITH i AS ({_INDEX}), s AS (SELECT page_id AS seed_id, domain, left(surt, length(surt) - 3) AS surt FROM i) SELECT i.page_id, s.seed_id FROM i JOIN s ON i.domain = s.domain AND starts_with(i.surt, s.surt)")
 def _(s, d):
     i = _index(s, d)
-    seeds = i.where("page_id % 10 = 0").select(F.col("page_id").alias("seed_id"), "domain", F.expr("left(surt, length(surt) - 3)").alias("surt"))
+    seeds = i.select(F.col("page_id").alias("seed_id"), "domain", F.expr("left(surt, length(surt) - 3)").alias("surt"))
     return crawl.seed_join(i, seeds).select("page_id", "seed_id")
 
 
-@query("c02_url_join", "SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 4 = 1)")
+@query("c02_url_join", f"SELECT DISTINCT page_id FROM pages WHERE url IN (SELECT replace(unnest({_HREFS}), '#', '') FROM pages UNION ALL SELECT url FROM pages)")
 def _(s, d):
-    p = table(s, d, "pages")
-    return crawl.url_join(p, p.where("page_id % 4 = 1")).select("page_id")
+    p = pages(s, d)
+    links = p.select(F.explode(crawl.hrefs(F.col("html"))).alias("url")).select(F.replace("url", F.lit("#"), F.lit("")).alias("url"))
+    return crawl.url_join(p, links.unionByName(p.select("url"))).select("page_id")
 
 
-@query("c05_coverage", "SELECT event_type AS site, count(*) AS n, count(DISTINCT user_id) AS urls, sum(length(props)) AS bytes FROM events GROUP BY 1")
+@query("c05_coverage", f"SELECT {_DOMAIN} AS site, count(*) AS n, count(DISTINCT url) AS urls, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1")
 def _(s, d):
-    e = table(s, d, "events").withColumn("hour", F.hour("ts")).withColumnRenamed("event_type", "site")
-    return crawl.coverage(e, "site", "user_id", F.length("props"), "hour").select("site", "n", "urls", "bytes")
+    return crawl.coverage(_index(s, d).withColumn("lang", T.html_lang(F.col("html"))).withColumnRenamed("domain", "site"), "site", "url", F.octet_length("html"), "lang").select("site", "n", "urls", "bytes")
 
 
-@query("c06_merge_counts", "SELECT hour(ts)::INTEGER AS key, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
+@query("c06_merge_counts", r"""SELECT nullif(regexp_extract(html, '(?i)<html[^>]*?\blang\s*=\s*["'']?([A-Za-z0-9-]+)', 1), '') AS key, count(*) AS n FROM pages WHERE key IS NOT NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 10""")
 def _(s, d):
-    e = table(s, d, "events").withColumn("hour", F.hour("ts")).withColumnRenamed("event_type", "site")
-    return crawl.merge_counts(crawl.coverage(e, "site", "user_id", F.length("props"), "hour"), "kinds")
-
-
-_HREFS = r"""list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']', 1))"""
+    found = _index(s, d).withColumn("lang", T.html_lang(F.col("html"))).where("lang IS NOT NULL").withColumnRenamed("domain", "site")
+    return crawl.merge_counts(crawl.coverage(found, "site", "url", F.octet_length("html"), "lang"), "kinds")
 
 
 @query("c07_frontier", f"SELECT DISTINCT u AS url FROM (SELECT unnest({_HREFS}) AS u FROM pages) WHERE u NOT IN (SELECT url FROM pages)")
 def _(s, d):
-    return crawl.frontier(table(s, d, "pages").withColumn("links", crawl.hrefs(F.col("html"))), "url", "links")
+    return crawl.frontier(pages(s, d).withColumn("links", crawl.hrefs(F.col("html"))), "url", "links")
 
 
 @query("c08_link_ids", f"SELECT page_id, to_id, count(*) AS n FROM (SELECT page_id, unnest({_HREFS}) AS u FROM pages) JOIN (SELECT url AS u, max(page_id) AS to_id FROM pages GROUP BY 1) USING (u) GROUP BY ALL")
 def _(s, d):
-    p = table(s, d, "pages").withColumn("links", crawl.hrefs(F.col("html"))).withColumn("time", F.lit(0))
+    p = pages(s, d).withColumn("links", crawl.hrefs(F.col("html"))).withColumn("time", F.lit(0))
     ids = crawl.link_ids(p, "page_id", "url", "links", "time")
     return ids.select("page_id", F.explode("external_ids").alias("to_id")).groupBy("page_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c09_union_depths", "SELECT page_id, (page_id % 3)::INTEGER AS depth FROM pages")
 def _(s, d):
-    p = table(s, d, "pages").select("page_id")
+    p = pages(s, d).select("page_id")
     return crawl.union_depths(*(p.where(F.col("page_id") % 3 == k) for k in range(3)))
 
 
@@ -554,7 +594,7 @@ def _(s, d):
 
 @query("c12_html_text")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", crawl.html_text(F.col("html")).alias("p")).select("page_id", "p.text", "p.title", F.size("p.spans").alias("spans"), "p.error")
+    return pages(s, d).select("page_id", crawl.html_text(F.col("html")).alias("p")).select("page_id", "p.text", "p.title", F.size("p.spans").alias("spans"), "p.error")
 
 
 @query("c16_characters_by_language", "SELECT lang, sum(length(text))::BIGINT AS characters, count(*) AS documents FROM documents GROUP BY 1")
@@ -596,7 +636,8 @@ x AS (SELECT doc_id, sum(logp) AS s, count(*) AS n FROM tok JOIN m USING (lang,
 
 def _scored(s, d):
     x = docs(s, d)
-    return language.document_perplexity(x, language.train_unigram(x))
+    counted = materialize(language.counted_words(x, ["doc_id", "lang"]), "lm-words")
+    return language.document_perplexity(x.select("doc_id", "lang"), language.unigram_of(counted), counted=counted)
 
 
 query("m06_perplexity", f"WITH {_PERPLEXITY} SELECT * FROM pp")(_scored)
@@ -618,9 +659,9 @@ def _(s, d):
     return language.continuation_counts(docs(s, d))
 
 
-@query("m12_vocabulary", f"WITH {_TOKENS} SELECT word, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, word LIMIT 5000")
+@query("m12_vocabulary", f"WITH {_TOKENS} SELECT word, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, word LIMIT 65536")
 def _(s, d):
-    return language.vocabulary(docs(s, d), size=5000)
+    return language.vocabulary(docs(s, d))
 
 
 @query("m17_fetch_metadata", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:1] || string_split(text, chr(10))[3:3], chr(10)) AS text FROM documents")
@@ -656,14 +697,14 @@ def _(s, d):
     return sampling.quartiles(docs(s, d), "n_chars")
 
 
-@query("a06_shuffle", f"SELECT doc_id FROM documents ORDER BY {_u(2021, 'doc_id')}, doc_id LIMIT 100")
+@query("a06_shuffle", f"SELECT doc_id FROM documents ORDER BY {_u(2021, 'doc_id')}, doc_id LIMIT 10000")
 def _(s, d):
-    return sampling.shuffled(docs(s, d), "doc_id", 100).select("doc_id")
+    return sampling.shuffled(docs(s, d), "doc_id", 10_000).select("doc_id")
 
 
-@query("a07_per_bucket", f"SELECT doc_id, bucket FROM (SELECT doc_id, floor(n_chars / 100.0) * 100.0::DOUBLE AS bucket, row_number() OVER (PARTITION BY floor(n_chars / 100.0) ORDER BY {_u(0, 'doc_id')}, doc_id) AS r FROM documents) WHERE bucket <= 1000 AND r <= 10")
+@query("a07_per_bucket", f"SELECT doc_id, bucket FROM (SELECT doc_id, floor(n_chars / 100.0) * 100.0::DOUBLE AS bucket, row_number() OVER (PARTITION BY floor(n_chars / 100.0) ORDER BY {_u(0, 'doc_id')}, doc_id) AS r FROM documents) WHERE bucket <= 1000 AND r <= 100")
 def _(s, d):
-    return sampling.per_bucket(docs(s, d), "doc_id", "n_chars", cap=10).select("doc_id", "bucket")
+    return sampling.per_bucket(docs(s, d), "doc_id", "n_chars").select("doc_id", "bucket")
 
 
 @query("a08_mix_by_ratio", f"SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_u(42, 'doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r <= floor(n * CASE lang WHEN 'en' THEN 0.25 WHEN 'de' THEN 0.5 ELSE 1.0 END)")
@@ -716,9 +757,9 @@ def _(s, d):
     return dedup.duplicate_fraction(docs(s, d))
 
 
-@query("g09_checksum", "SELECT count(*) AS rows, sum(('0x' || substr(md5(n_name || '|' || n_nationkey || '|' || n_regionkey), 1, 8))::BIGINT)::BIGINT AS checksum FROM nation")
+@query("g09_checksum", "SELECT count(*) AS rows, sum(('0x' || substr(md5(n_name || '|' || n_nationkey || '|' || n_regionkey), 1, 8))::BIGINT)::BIGINT AS checksum FROM nation UNION ALL SELECT count(*), sum(('0x' || substr(md5(doc_id || '|' || lang || '|' || n_chars || '|' || source || '|' || text), 1, 8))::BIGINT)::BIGINT FROM documents")
 def _(s, d):
-    return profile.checksum(table(s, d, "nation"))
+    return profile.checksum(table(s, d, "nation")).unionByName(profile.checksum(docs(s, d)))
 
 
 _RUNS = r"SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS r FROM documents"
@@ -766,4 +807,7 @@ def _(s, d):
 
 @query("o11_clean_site")
 def _(s, d):
-    return pipelines.clean_site(docs(s, d), least=2).select("doc_id", "text")
+    return pipelines.clean_site(docs(s, d)).select("doc_id", "text")
+
+
+from . import queries_more  # noqa: E402,F401 - registers the others

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +55,23 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are cores, where a scan gives fewer.
+
+    A small file, or one of a single row group, is one task, whatever is computed on it. A table of
+    many files has more tasks than cores, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI or of a plain local path; s3a and s3n are read as s3."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
