@@ -67,7 +67,7 @@ def test_percentiles_equal_numpy(spark, values):
         found = profile.percentiles(df, "v", {"p": 0.3, "q": 0.625, "r": 1.0}, group).collect()
         assert len(found) == (0 if not values else 1 if group is None else 2)
         for r in found:
-            assert [r.p, r.q, r.r] == pytest.approx(np.quantile(values, [0.3, 0.625, 1.0]).tolist())
+            assert [r.p, r.q, r.r] == pytest.approx(np.quantile(values if group else values + values, [0.3, 0.625, 1.0]).tolist())
 
 
 # -- readers and sinks ----------------------------------------------------------------------
@@ -220,9 +220,9 @@ def test_tokens_and_pieces(spark):
 
 
 def test_verdict_of_one_text(spark):
-    found = filters.verdict(spark, "too short", "en")
+    found = filters.verdict(spark, "zzz qqq", "en")
     assert found["number_words"] == 2 and found["discard_reason"] == "words_few" and "stopwords" in found["failed"]
-    assert filters.verdict(spark, "too short", "en", filters.Cutoffs(words_least=1, stop_least=0.0))["discard_reason"] is None
+    assert filters.verdict(spark, "zzz qqq", "en", filters.Cutoffs(words_least=1, stop_least=0.0))["discard_reason"] is None
     assert filters.metrics(spark.createDataFrame([(None, "xx"), ("", None)], "text string, lang string")).count() == 2
 
 
@@ -250,7 +250,7 @@ def test_verdict_of_one_text(spark):
     ],
 )
 def test_patterns(lang, text, wanted):
-    assert pii.substitute(text, pii.resolve(lang, "any"), "<{name}>") == (wanted or text)
+    assert pii.substitute(text, pii.resolve(lang, {"en": "us", "zh": "cn"}[lang]), "<{name}>") == (wanted or text)
 
 
 def test_numbers_of_the_administration():
@@ -338,10 +338,10 @@ def test_repeated_windows_equal_brute_force(spark):
 
 
 def test_hot_lines(spark):
-    rows = [(i, f"\nown line {i}\n" + ("shared\n" if i % 2 else "") + f"own line {i}") for i in range(3000)]
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))  # noqa: E731 - digits are all alike in a line's key
+    rows = [(i, f"\nown {name(i)}\n" + ("shared\n" if i % 2 else "") + f"OWN {name(i)}") for i in range(3000)]
     found = dedup.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(found) == 3000 - 0 and {r.text for r in found} <= {"own line 0"} | {r.text for r in found}
-    assert all(r.text in ("", f"own line {r.doc_id}") or r.nlines == 1 for r in found)
+    assert {r.doc_id: r.text for r in found} == {i: f"own {name(i)}" for i in range(3000)}
 
 
 def test_first_copies_and_frequent_lines(spark):
