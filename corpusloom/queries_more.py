@@ -372,7 +372,7 @@ def _(s, d):
     return m.select("doc_id", F.size("words").alias("words"), F.size(F.filter("words", lambda w: w["bad"])).alias("bad"), F.coalesce(F.array_max(F.transform("words", lambda w: w["length"])), F.lit(0)).alias("longest"))
 
 
-_REP = """SELECT doc_id, n, round_even(coalesce(sum(c) FILTER (rn <= least(floor(sqrt(u)), u - r)) / sum(c)::DOUBLE, 0), 4) AS ratio FROM (
+_REP = """SELECT doc_id, n, printf('%.4f', coalesce(sum(c) FILTER (rn <= least(floor(sqrt(u)), u - r)) / sum(c)::DOUBLE, 0))::DOUBLE AS ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY c DESC) AS rn, count(*) OVER (PARTITION BY doc_id, n) AS u, count(*) FILTER (c > 1) OVER (PARTITION BY doc_id, n) AS r FROM (
     SELECT doc_id, n, g, count(*) AS c FROM (SELECT doc_id, n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substr(text, i, n))) AS g FROM documents, (SELECT unnest([2, 8, 15]) AS n) WHERE length(text) >= n) GROUP BY ALL)) GROUP BY 1, 2"""
 
