@@ -186,7 +186,7 @@ def _read_set(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    for a, b in text_runs(offsets, 2 << 20):
+    for a, b in text_runs(offsets, 1 << 20):
         for lo in range(a, b, 4096):
             yield lo, min(b, lo + 4096)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import string_buffers, text_runs
-from .units import HashIndex, grown, hash_spans, worker_store
+from .units import HashIndex, give_back, grown, hash_spans, worker_store
 
 BITS = 18
 #: Passes over the training rows, the same for any number of them.
@@ -143,7 +143,7 @@ def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epo
 class Scorer:
     """Logits of documents; sums of the words it has met are kept, up to ``max_words``."""
 
-    def __init__(self, model: Model, max_words: int = 300_000):
+    def __init__(self, model: Model, max_words: int = 150_000):
         self.model, self.max_words = model, max_words
         self._clear()
 
@@ -199,7 +199,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         scorer = worker_store(("scorer", id(m)), lambda: Scorer(m))
         raw, offsets = string_buffers(column)
         out = []
-        for a, b in text_runs(offsets, 2 << 20):
+        for a, b in text_runs(offsets, 1 << 20):
             z = scorer.logits(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -248,4 +248,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAINING_ROWS, max_bytes: int = TRAINING_BYTES, **options) -> Model:
     """Train on a bounded number of labelled rows (see ``training_rows``), in numpy on the driver."""
     rows = training_rows(docs, labels, label_col, id_col, text_col, max_rows, max_bytes)
-    return train([t for _, t, _ in rows], [y for _, _, y in rows], **options)
+    model = train([t for _, t, _ in rows], [y for _, _, y in rows], **options)
+    give_back()
+    return model

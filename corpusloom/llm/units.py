@@ -15,6 +15,8 @@ to the tokenizer as a whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 
@@ -140,7 +142,7 @@ def grown(array: np.ndarray, need: int) -> np.ndarray:
 class UnitEncoder:
     """Encoder with a store of units; ``max_units`` and ``max_bytes`` bound its memory, not what it encodes."""
 
-    def __init__(self, path: str, max_units: int = 1_000_000, max_bytes: int = 64 << 20):
+    def __init__(self, path: str, max_units: int = 400_000, max_bytes: int = 16 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -293,11 +295,21 @@ def worker_store(key: tuple, make):
     """What a worker keeps between tasks: one thing at a time, so that its memory is that of one."""
     if key not in _STORE:
         _STORE.clear()
+        give_back()
         _STORE[key] = make()
     return _STORE[key]
 
 
-def encoder(path: str, max_units: int = 1_000_000) -> UnitEncoder:
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can do that."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def encoder(path: str, max_units: int = 400_000) -> UnitEncoder:
     """The worker's own encoder; it stays until another operator's store takes its place."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return worker_store(("encoder", path, max_units), lambda: UnitEncoder(path, max_units))
