@@ -67,6 +67,7 @@ def _run(n: int, floor: tuple[np.ndarray, np.ndarray, int], ids: np.ndarray | No
     start_of, share_of = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
     start_of[present], share_of[present] = stop - share, share
     bits_, all_bits = _U(bits), _U(bits + _MIX_BITS)
+    most, last_slot = _U((1 << bits + _MIX_BITS) - 1), _U((1 << bits) - 1)
     cell = _U(bits - _RECENT)  # a recent id has 1 / 2 ** _RECENT of what the recent ones have
     decoding = ids is None
     if decoding:
@@ -107,49 +108,59 @@ def _run(n: int, floor: tuple[np.ndarray, np.ndarray, int], ids: np.ndarray | No
         e1, e2 = one[h1], two[h2]
         p1, p2 = e1 >> 2, e2 >> 2
         s1, s2 = e1 & 3, e2 & 3
-        kind = ((s2 << 3) | (s1 << 1)) + (p1 == p2) + row32
+        kind = (s2 << 3) + (s1 << 1) + (p1 == p2) + row32
         a1, a2 = sure1[kind], sure2[kind]
-        q2 = 16 + ((a2 * 3900) >> 16)
-        q1 = 8 + ((a1 * (3968 - q2)) >> 16)
+        q2 = ((a2 * 3900) >> 16) + 16
+        q1 = ((a1 * (3968 - q2)) >> 16) + 8
         q12 = q1 + q2
         q0 = 4096 - q12
-        qr = 1 + ((q0 * (1024 + sure0 - (sure0 >> 3))) >> 16)  # of order 0, from 1/64 to 8/9 to the recent ids
-        qf = (q0 - qr).astype(np.uint64)
+        qr = ((q0 * (1024 + sure0 - (sure0 >> 3))) >> 16) + 1  # of order 0, from 1/64 to 8/9 to the recent ids
         part = span >> all_bits
+        # which predictor: order 2, order 1, a recent id, or the floor; lanes of all but the first by place
         if decoding:
-            v = ((code - low) // part).astype(np.int64)
-            np.minimum(v, (1 << bits + _MIX_BITS) - 1, out=v)
-            w = v >> bits
+            v = (code - low) // part
+            np.minimum(v, most, out=v)
+            w = (v >> bits_).astype(np.int32)
             hit2 = w < q2
-            hit1 = (w < q12) & ~hit2
-            hitr = (w >= q12) & (w < q12 + qr)
-            x = np.maximum(v - ((q12 + qr).astype(np.int64) << bits), 0).astype(np.uint64) // qf
-            now = slots[np.minimum(x, _U((1 << bits) - 1)).astype(np.int64)]
-            g = np.flatnonzero(hitr)
-            place = ((v[g] - (q12[g].astype(np.int64) << bits)) >> (bits - _RECENT)) // np.maximum(qr[g], 1)
-            now[g] = recent[row0[g] + np.minimum(place, (1 << _RECENT) - 1)]
-            now = np.where(hit2, p2, np.where(hit1, p1, now))
-            now = np.where((now < 0) | (now >= size), present[0], now).astype(np.int32)  # in a damaged stream
+            far = w >= q12
+            first = np.flatnonzero(~(hit2 | far))
+            deep = w >= q12 + qr
+            near, zero = np.flatnonzero(far & ~deep), np.flatnonzero(deep)
+            now = p2.copy()
+            now[first] = p1[first]
+            qz = (q0[zero] - qr[zero]).astype(np.uint64)
+            x = (v[zero] - ((q12[zero] + qr[zero]).astype(np.uint64) << bits_)) // qz
+            now[zero] = slots[np.minimum(x, last_slot).astype(np.int64)]
+            spot = ((v[near] - (q12[near].astype(np.uint64) << bits_)) >> cell) // qr[near].astype(np.uint64)
+            spot = np.minimum(spot, _U((1 << _RECENT) - 1)).astype(np.int64)
+            now[near] = recent[row0[near] + spot]
+            np.clip(now, 0, size - 1, out=now)  # in a damaged stream an id may be none
             out[t, :lanes] = now
-            spot = ((now.astype(np.int64) * 0x9E3779B1) >> 12) & ((1 << _RECENT) - 1)
+            place = ((now * np.int64(0x9E3779B1)) >> 12) & ((1 << _RECENT) - 1)
+            spot = spot.astype(np.uint64)
         else:
             now = grid[t, :lanes]
             hit2 = now == p2
-            hit1 = (now == p1) & ~hit2
-            spot = ((now.astype(np.int64) * 0x9E3779B1) >> 12) & ((1 << _RECENT) - 1)
+            far = now != p1
+            far &= ~hit2
+            first = np.flatnonzero(~(far | hit2))
+            rest = np.flatnonzero(far)
+            place = ((now * np.int64(0x9E3779B1)) >> 12) & ((1 << _RECENT) - 1)
+            own = now[rest]
             # a recent id is coded as such where that takes fewer bits than the floor
-            hitr = (recent[row0 + spot] == now) & ~(hit1 | hit2)
-            g = np.flatnonzero(hitr)
-            hitr[g] = (qr[g].astype(np.uint64) << cell) > share_of[now[g]] * qf[g]
-        begin = np.where(hit2, 0, np.where(hit1, q2, q12)).astype(np.uint64) << bits_
-        width = np.where(hit2, q2, q1).astype(np.uint64) << bits_
-        zero = np.flatnonzero(~(hit1 | hit2 | hitr))
+            qz, cheap = (q0[rest] - qr[rest]).astype(np.uint64), qr[rest].astype(np.uint64) << cell
+            is_near = (recent[row0[rest] + place[rest]] == own) & (cheap > share_of[own] * qz)
+            near, zero, qz = rest[is_near], rest[~is_near], qz[~is_near]
+            spot = place[near].astype(np.uint64)
+        begin = np.zeros(lanes, np.uint64)
+        width = q2.astype(np.uint64) << bits_
+        begin[first] = width[first]
+        width[first] = q1[first].astype(np.uint64) << bits_
         own = now[zero]
-        begin[zero] += (qr[zero].astype(np.uint64) << bits_) + start_of[own] * qf[zero]
-        width[zero] = share_of[own] * qf[zero]
-        near = np.flatnonzero(hitr)
+        begin[zero] = ((q12[zero] + qr[zero]).astype(np.uint64) << bits_) + start_of[own] * qz
+        width[zero] = share_of[own] * qz
         each = qr[near].astype(np.uint64) << cell
-        begin[near] += each * spot[near].astype(np.uint64)
+        begin[near] = (q12[near].astype(np.uint64) << bits_) + each * spot
         width[near] = each
         low = low + part * begin
         span = part * width
@@ -167,13 +178,19 @@ def _run(n: int, floor: tuple[np.ndarray, np.ndarray, int], ids: np.ndarray | No
             low[go] = bound << _32
             span[go] = left << _32
         # what each predictor learns: its weight, then its confidence or its new id
+        hit1 = np.zeros(lanes, np.int32)
+        hit1[first] = 65535
         sure2[kind] = a2 + (((hit2 * np.int32(65535)) - a2) >> 4)
-        sure1[kind] = a1 + (((hit1 * np.int32(65535)) - a1) >> 4)
+        sure1[kind] = a1 + ((hit1 - a1) >> 4)
         sure0[zero] -= sure0[zero] >> 4
         sure0[near] += (65535 - sure0[near]) >> 4
-        one[h1] = np.where(now == p1, (p1 << 2) | np.minimum(s1 + 1, 3), np.where(s1 == 0, now << 2, e1 - 1))
-        two[h2] = np.where(hit2, (p2 << 2) | np.minimum(s2 + 1, 3), np.where(s2 == 0, now << 2, e2 - 1))
-        recent[row0 + spot] = now
+        for table, at_, e, sure, same in ((one, h1, e1, s1, now == p1), (two, h2, e2, s2, hit2)):
+            e += (same & (sure < 3)).view(np.int8)
+            e -= (~same & (sure > 0)).view(np.int8)
+            new = np.flatnonzero(~same & (sure == 0))
+            e[new] = now[new] << 2
+            table[at_] = e
+        recent[row0 + place] = now
         b2, b1 = b1, now.astype(np.int64)
     if decoding:
         return np.ascontiguousarray(out.T).ravel()[:n]
