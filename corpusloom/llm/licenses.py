@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,18 @@ TEMPLATES = (
     Template("cc-by-nc", 'CC BY NC <<beginOptional>>SA<<endOptional>> <<beginOptional>>ND<<endOptional>> <<var;name="version";match="[0-9]";max=2>>', 0.9),
     Template("cc-by", 'Creative Commons Attribution <<beginOptional>>ShareAlike<<endOptional>> <<var;name="version";match="[0-9]";max=2>> <<beginOptional>>International<<endOptional>> <<beginOptional>>Public<<endOptional>> License', 0.9),
     Template("cc-by-nc", 'Creative Commons Attribution NonCommercial <<beginOptional>>ShareAlike<<endOptional>> <<var;name="version";match="[0-9]";max=2>> <<beginOptional>>International<<endOptional>> <<beginOptional>>Public<<endOptional>> License', 0.9),
+    Template(
+        "bsd-text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        + _OPTIONAL.format("1.") + " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        + _OPTIONAL.format("2.") + " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        + _OPTIONAL.format(_OPTIONAL.format("3.") + ' Neither the name of the <<var;name="organization";max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'),
+        1.0,
+    ),
+    Template("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, <<beginOptional>>v.<<endOptional>> <<beginOptional>>version<<endOptional>> 2.0", 1.0),
+    Template("cc0", "CC0 1.0 <<beginOptional>>Universal<<endOptional>>", 0.9),
+    Template("epl-notice", 'Eclipse Public License <<beginOptional>>-<<endOptional>> <<beginOptional>>v<<endOptional>> <<beginOptional>>version<<endOptional>> <<var;name="version";match="[0-9]";max=2>>', 0.8),
+    Template("zlib-text", "This software is provided <<beginOptional>>'<<endOptional>>as-is<<beginOptional>>'<<endOptional>>, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", 1.0),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", 1.0),
     Template("isc-text", 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies', 1.0),
     Template("unlicense-text", "This is free and unencumbered software released into the public domain", 1.0),
@@ -235,12 +248,22 @@ TEMPLATES = (
 )
 
 
+def read_templates(folder: str, ending: str = ".template.txt", weight: float = 0.9) -> tuple[Template, ...]:
+    """Templates from files of a folder, one each, in the same markup; the name before the ending is the label."""
+    found = []
+    for path in sorted(Path(folder).iterdir()):
+        if path.name.endswith(ending):
+            found.append(Template(path.name.removesuffix(ending), path.read_text(encoding="utf-8"), weight))
+            parse(found[-1].text)  # a file that isn't a template fails here
+    return tuple(found)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """One row a document: id, n_words, matches and score.
 
     ``matches`` holds every accepted place: label, base, first_word and end_word (from 0, end beyond).
     ``score`` is 1 - the product of (1 - weight) over the distinct labels. A null or empty text has no
-    words and no match; equal starts are reported for each template; rows stay as they are, so
+    words and no match; very long texts count whole; equal starts are reported for each template; rows stay as they are, so
     repeated rows give repeated rows; other columns are ignored; an empty table gives none.
     """
     schema = "doc_id long, n_words long, matches array<struct<label:string,base:boolean,first_word:long,end_word:long>>, score double"

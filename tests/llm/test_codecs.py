@@ -179,10 +179,23 @@ def test_license_templates():
     for bad in ("<<beginOptional>>a", "a<<endOptional>>", "<<what>>", "<<beginOptional>>a<<endOptional>>", '<<var;name="x">> a'):
         with pytest.raises(ValueError):
             licenses.Automaton([licenses.Template("b", bad)])
+    for label in ("mit-text", "bsd-text", "mpl-2.0-notice", "cc0", "zlib-text"):
+        own = next(t for t in licenses.TEMPLATES if t.label == label)
+        assert label in licenses.Automaton(licenses.TEMPLATES).accepts_whole(licenses._MARK.sub("", own.text)), label
     full = next(t for t in licenses.TEMPLATES if t.label == "mit-text")
     assert licenses.Automaton([full]).accepts_whole(licenses._MARK.sub("", full.text)) == ["mit-text"]
 
 
+def test_templates_of_a_folder(tmp_path):
+    (tmp_path / "own.template.txt").write_text('use it <<beginOptional>>well<<endOptional>> <<var;name="who";max=1>> please')
+    (tmp_path / "readme.md").write_text("<<what>>")
+    (own,) = licenses.read_templates(str(tmp_path))
+    assert own.label == "own" and licenses.Automaton([own]).accepts_whole("Use it, well: Ann, please!") == ["own"]
+    (tmp_path / "bad.template.txt").write_text("a <<what>>")
+    with pytest.raises(ValueError):
+        licenses.read_templates(str(tmp_path))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("a b c d"), max_size=40), st.lists(st.sampled_from("a b c d e"), max_size=40))
 def test_sketches_recover_differences(a, b):
