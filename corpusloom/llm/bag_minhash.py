@@ -31,7 +31,7 @@ from ..operators.components import components
 from .common import discard, materialize, string_buffers, text_runs
 from .licenses import _BLANK
 from .quality import _words
-from .units import hash_spans
+from .units import give_back, hash_spans
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -217,6 +217,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
                 total = np.bincount(doc, count, b - a).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(total), lists], schema=_SIGNED)
+            give_back()
 
     return _named(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, words binary, n long, bands array<long>")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import string_buffers, text_runs
-from .units import default_tokenizer, encoder
+from .units import default_tokenizer, encoder, give_back
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -163,6 +163,7 @@ def pack_documents(
                         yield out()
                 if held:
                     yield out()
+            give_back()
         held += bins.finish()
         if held:
             yield out()

@@ -105,17 +105,16 @@ def train(texts: Sequence[str], labels: Sequence[int], dimensions: int = 10, epo
     k, rng = len(classes), np.random.default_rng(seed)
     if k == 1 or not len(texts):
         return Model(classes, np.zeros((1 << BITS, k), np.float32), np.zeros(k))
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(texts), 200):
-        data = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 200]]
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(texts), 50):
+        data = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + 50]]
         doc, bucket = features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
         # one entry for each document and bucket, with its share of the document
         key, count = np.unique((doc << BITS) | bucket, return_counts=True)
         doc, total = key >> BITS, np.bincount(doc, minlength=len(data))
-        parts.append(((key & ((1 << BITS) - 1)).astype(np.int32), (count / total[doc]).astype(np.float32), np.bincount(doc, minlength=len(data))))
-    buckets, shares, sizes = map(np.concatenate, zip(*parts))
-    stop = np.cumsum(sizes)
-    rows = [(buckets[e - n : e], shares[e - n : e]) for n, e in zip(sizes.tolist(), stop.tolist())]
+        buckets, shares = (key & ((1 << BITS) - 1)).astype(np.int32), (count / total[doc]).astype(np.float32)
+        edge = np.searchsorted(doc, np.arange(len(data) + 1)).tolist()
+        rows += [(buckets[lo:hi], shares[lo:hi]) for lo, hi in zip(edge, edge[1:])]
     y = np.searchsorted(classes, labels)
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (1 << BITS, dimensions)).astype(np.float32)
     out = np.zeros((dimensions, k), np.float32)
@@ -204,6 +203,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             out.append(p[:, m.classes.index(positive)] if positive in m.classes else np.zeros(len(p)))
+        give_back()
         return np.concatenate(out) if out else np.zeros(0)
 
     @F.arrow_udf("double")

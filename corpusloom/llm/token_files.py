@@ -44,7 +44,7 @@ def write_token_files(
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, 1_000_000).encode
         # Hash-free layout: a task holds one part, or several one after another.
         file, part, held, counted = None, None, [], [0, 0]
 

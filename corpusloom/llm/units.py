@@ -21,6 +21,7 @@ import hashlib
 import os
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 _LETTER, _SPACE, _DIGIT, _PUNCT, _QUOTE, _HIGH, _OTHER = range(7)
@@ -303,6 +304,7 @@ def worker_store(key: tuple, make):
 def give_back() -> None:
     """Return freed memory to the system, where the C library can do that."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
