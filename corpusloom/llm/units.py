@@ -9,8 +9,9 @@ A text is cut where the pre-tokenizer is certain to begin a new piece, whatever
 
 Between such cuts the ids don't depend on the rest of the text. Units are looked up by hash, with numpy
 over the bytes of a whole Arrow batch, and every hit is compared byte for byte; the tokenizer sees
-each unit that is new to the worker. A text that holds an added token, such as ``<|endoftext|>``, goes
-to the tokenizer as a whole.
+each unit that is new to the worker, many in one text: a blank and what follows it up to the next white
+space is told from the next one by the blank, and units without white space are put on lines. A text
+that holds an added token, such as ``<|endoftext|>``, goes to the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -40,21 +41,31 @@ _PAIR[[_DIGIT, _PUNCT, _QUOTE], _SPACE] = 1
 _PAIR[_HIGH, _SPACE] = 2
 _PAIR[_PUNCT, [_LETTER, _DIGIT]] = 1
 _PAIR[_DIGIT, [_LETTER, _PUNCT, _QUOTE]] = 1
-_PAIR = _PAIR.ravel()
+_PAIR = np.concatenate((_PAIR.ravel(), np.zeros(256 - 49, np.uint8)))
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPAN = 1 << 21
 #: Spans of more bytes are hashed by BLAKE2 one by one, all others eight bytes a step, side by side.
 _LONG = 256
+#: Bytes of white space, or that may begin a character of white space.
+_MAY_SPACE = np.zeros(256, np.uint8)
+_MAY_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = 1
+#: New units that the tokenizer gets in one text.
+_JOINED = 100
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, never 0: lengths, then eight bytes after the other, each mixed in."""
+def eights(raw: np.ndarray) -> np.ndarray:
+    """Of every place, the eight bytes from there; zeros follow the end."""
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[: len(raw)] = raw
-    words = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # of every place, the eight bytes from there
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, never 0: lengths, then eight bytes after the other, each mixed in."""
+    words = eights(raw)
     size = ends - starts
     hashes = size.astype(np.uint64) * _ODD + _M2
 
@@ -149,8 +160,8 @@ class UnitEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for s, i in vocabulary.items() if s.startswith("Ġ")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # units are joined for the tokenizer only where no added token could arise from that
-        self.joins = not any(t.replace(" ", "").isalpha() for t in self.added)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.max_units, self.max_bytes = max_units, max_bytes
         self._clear()
 
@@ -158,7 +169,7 @@ class UnitEncoder:
         self.index = HashIndex()
         self.clashes: dict[bytes, int] = {}  # units whose hash is another one's
         self.count = self.used = self.filled = 0
-        self.offsets, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.offsets, self.lengths = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.begins, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.int32)
         self.data = np.zeros(4096, np.uint8)
@@ -205,10 +216,10 @@ class UnitEncoder:
 
     @staticmethod
     def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        kind = _CLASS[raw]
+        kind = np.frombuffer(raw.tobytes().translate(_CLASS.tobytes()), np.uint8)
         cut = np.zeros(len(raw), bool)
         if len(raw) > 1:
-            pair = _PAIR[kind[:-1] * np.uint8(7) + kind[1:]]
+            pair = np.frombuffer((kind[:-1] * np.uint8(7) + kind[1:]).tobytes().translate(_PAIR.tobytes()), np.uint8)
             cut[1:] = pair == 1
             wide = np.flatnonzero(pair == 2)  # the place before the space
             if len(wide):
@@ -241,52 +252,83 @@ class UnitEncoder:
             new = list(dict.fromkeys(u for u in units if u not in self.clashes))
             self.clashes.update(zip(new, self._learn(new).tolist() if new else ()))
             places[other] = [self.clashes[u] for u in units]
-        size = self.lengths[places].astype(np.int64)
-        stop = np.cumsum(size)
+        size = self.lengths[places]
+        stop = np.cumsum(size, dtype=np.int32)
         index = np.repeat(self.offsets[places] - (stop - size), size)
-        index += np.arange(len(index))
-        return self.ids[index], size
+        index += np.arange(len(index), dtype=np.int32)
+        return self.ids.take(index), size
 
     def _unlike(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Units whose bytes aren't those of their place."""
-        at = np.repeat(self.begins[places] - starts.astype(np.int32), sizes)
-        at += np.arange(len(raw), dtype=np.int32)
-        differs = np.flatnonzero(self.data[np.minimum(at, len(self.data) - 1)] != raw)
-        short = self.sizes[places] != sizes
-        if not len(differs) and not short.any():
-            return differs
-        short[np.searchsorted(starts, differs, "right") - 1] = True
-        return np.flatnonzero(short)
+        here, there = eights(raw), np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        begins = self.begins[places]
+        differs = self.sizes[places] != sizes
+        differs |= ((here[starts] ^ there[begins]) & _FIRST[np.minimum(sizes, 8)]) != 0
+        index = np.flatnonzero((sizes > 8) & ~differs)
+        long = sizes[index] > _LONG
+        for i in index[long].tolist():
+            differs[i] = not np.array_equal(raw[starts[i] : starts[i] + sizes[i]], self.data[begins[i] : begins[i] + sizes[i]])
+        index = index[~long]
+        step = 8
+        while len(index):
+            left = sizes[index] - step
+            unlike = ((here[starts[index] + step] ^ there[begins[index] + step]) & _FIRST[np.minimum(left, 8)]) != 0
+            differs[index[unlike]] = True
+            index = index[~unlike & (left > 8)]
+            step += 8
+        return np.flatnonzero(differs)
 
     def _learn(self, units: list[bytes]) -> np.ndarray:
         """Encode new units and keep them; returns their places."""
-        texts = [u.decode("utf-8") for u in units]
-        plain = [i for i, u in enumerate(texts) if u[0] == " " and u[1:].isalpha()] if self.joins else []
-        chosen = set(plain)
-        found: list = [None] * len(texts)
-        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        for group, x in zip(groups, self.tokenizer.encode_batch_fast(["".join(texts[i] for i in g) for g in groups], add_special_tokens=False)):
-            ids = np.array(x.ids, np.int32)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(group):
-                for i, part in zip(group, np.split(ids, at[1:])):
-                    found[i] = part
-            else:
-                chosen.difference_update(group)
-        rest = [i for i in range(len(texts)) if i not in chosen]
-        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            found[i] = np.array(x.ids, np.int32)
-        n, size, wide = self.count, np.array([len(x) for x in found], np.int32), np.array([len(u) for u in units], np.int32)
-        end, stop, full = n + len(units), self.used + int(size.sum()), self.filled + int(wide.sum())
+        wide = np.array([len(u) for u in units], np.int32)
+        raw, begins = np.frombuffer(b"".join(units), np.uint8), np.cumsum(wide, dtype=np.int64) - wide
+        spaces = np.add.reduceat(_MAY_SPACE[raw], begins, dtype=np.int32)
+        blank = raw[begins] == 32
+        words, others = np.flatnonzero(blank & (spaces == 1) & (wide > 1)).tolist(), np.flatnonzero(~blank & (spaces == 0)).tolist()
+        alone = np.flatnonzero(blank & (wide == 1)).tolist()
+        for i in np.flatnonzero(spaces > blank).tolist():
+            text = units[i].decode("utf-8")[int(blank[i]) :]
+            (alone if text.split() != [text] else words if blank[i] else others).append(i)
+        order, sizes, found = [], [], []
+        for chosen, between in ((words, b""), (others, b"\n")):
+            groups = [chosen[i : i + _JOINED] for i in range(0, len(chosen), _JOINED)]
+            texts = [between.join([units[i] for i in g]).decode("utf-8") for g in groups]
+            if between and self.line is None or any(t in x for t in self.added for x in texts):
+                alone.extend(chosen)
+                continue
+            for group, x in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(x.ids, np.int32)
+                if between:
+                    line = ids == self.line
+                    at = np.flatnonzero(line)
+                    size = np.diff(at, prepend=-1, append=len(ids)) - 1
+                    ids = ids[~line]
+                else:
+                    at = np.flatnonzero(self.opens[ids])
+                    size = np.diff(at, append=len(ids))
+                if len(size) == len(group) and size.min() > 0 and (between or at[0] == 0):
+                    order.extend(group)
+                    sizes.append(size)
+                    found.append(ids)
+                else:
+                    alone.extend(group)
+        for x in self.tokenizer.encode_batch_fast([units[i].decode("utf-8") for i in alone], add_special_tokens=False):
+            found.append(np.array(x.ids, np.int32))
+            sizes.append([len(found[-1])])
+        order.extend(alone)
+        size, wide = np.concatenate(sizes).astype(np.int32), wide[order]
+        n, end, stop, full = self.count, self.count + len(units), self.used + int(size.sum()), self.filled + len(raw)
         self.offsets, self.lengths, self.ids = grown(self.offsets, end), grown(self.lengths, end), grown(self.ids, stop)
-        self.begins, self.sizes, self.data = grown(self.begins, end), grown(self.sizes, end), grown(self.data, full)
+        self.begins, self.sizes, self.data = grown(self.begins, end), grown(self.sizes, end), grown(self.data, full + 8)
         self.lengths[n:end], self.sizes[n:end] = size, wide
         self.offsets[n:end] = self.used + np.cumsum(size) - size
         self.begins[n:end] = self.filled + np.cumsum(wide) - wide
         self.ids[self.used : stop] = np.concatenate(found)
-        self.data[self.filled : full] = np.frombuffer(b"".join(units), np.uint8)
+        self.data[self.filled : full] = np.frombuffer(b"".join([units[i] for i in order]), np.uint8)
         self.count, self.used, self.filled = end, stop, full
-        return np.arange(n, end, dtype=np.int32)
+        places = np.empty(len(units), np.int32)
+        places[order] = np.arange(n, end, dtype=np.int32)
+        return places
 
 
 _STORE: dict[tuple, object] = {}

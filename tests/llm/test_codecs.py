@@ -2,6 +2,7 @@
 
 import io
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -74,6 +75,47 @@ def test_added_tokens_are_the_tokenizers(encoder):
     assert found == plain_ids(encoder, texts) and found[0] == [87, 220, 50256, 331]
 
 
+class Counting:
+    """A tokenizer that counts the texts it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("form", ["w{}\n", "Wé{}.\n", " wé{}$$$", "{},", " {}"])
+def test_new_units_share_a_text(form):
+    own = units.UnitEncoder(units.default_tokenizer())
+    own.tokenizer = Counting(own.tokenizer)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = ["".join(form.format(str(i).translate(letters) if "w" in form.lower() else i) for i in range(3000))]
+    ids, _ = own.encode(*string_buffers(pa.array(texts)))
+    assert [ids.tolist()] == plain_ids(units.UnitEncoder(units.default_tokenizer()), texts)
+    assert own.count >= 3000 and own.tokenizer.texts <= own.count // 50
+
+
+def test_added_tokens_may_not_arise_from_joining(tmp_path):
+    tokenizer = units.Tokenizer.from_file(units.default_tokenizer())
+    tokenizer.add_tokens(["b\nc", "d e", "$ f"])
+    tokenizer.save(str(tmp_path / "more.json"))
+    for texts in (["b", "c"], ["d e", "x d", " e"], ["é$", "g f", " f"], ["b\nc", "b", "c"]):
+        own = units.UnitEncoder(str(tmp_path / "more.json"))
+        ids, sizes = own.encode(*string_buffers(pa.array(texts)))
+        assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(sizes), sizes)] == plain_ids(own, texts)
+
+
+def test_units_of_one_hash_and_eight_bytes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(units, "hash_spans", lambda raw, starts, ends: np.full(len(starts), 7, np.uint64))
+    own = units.UnitEncoder(units.default_tokenizer())
+    texts = ["abcdefghijklmnopqrs", "abcdefghijklmnopqrt", "abcdefghXjklmnopqrs", "abcdefgh", "abcdefghijklmnopqrs"]
+    texts += ["b" * 300 + "c" * 300, "b" * 301 + "c" * 299, "b" * 300 + "c" * 300]
+    ids, sizes = own.encode(*string_buffers(pa.array(texts)))
+    assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(sizes), sizes)] == plain_ids(own, texts)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(max_size=600), min_size=1, max_size=12))
 def test_span_hashes_depend_on_content_alone(spans):
@@ -104,6 +146,15 @@ def test_range_coder_learns_and_tells_damage():
         list(range_coder.decode_segments(io.BytesIO(b"nonsense" + data)))
 
 
+@pytest.mark.parametrize(("n", "most", "crc"), [(3000, 50, 1131047759), (70000, 40000, 184142642), (9000, 3, 1621556488)])
+def test_range_coder_bytes_stay(n, most, crc):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.geometric(min(1, 8 / most), n), rng.integers(0, most, n))
+    ids[n // 2 :: 3] = ids[: len(ids[n // 2 :: 3])]
+    data = range_coder.encode_segment(np.array([7]), np.array([n]), ids)
+    assert zlib.crc32(data[-range_coder._HEAD.unpack_from(data)[-1] :]) == crc  # the coded words, the last part
+
+
 def test_empty_segment():
     data = range_coder.MAGIC + range_coder.encode_segment(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     ((keys, sizes, back),) = range_coder.decode_segments(io.BytesIO(data))
