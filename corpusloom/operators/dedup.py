@@ -235,7 +235,8 @@ def hamming_pairs(hashes: DataFrame, most: int = 4, blocks: int = 6, hash_col: s
     distinct = hashes.select(F.col(hash_col).alias("h")).distinct()
     keys = F.array(*(F.xxhash64(F.lit(n), *(part(F.col("h"), i) for i in chosen)) for n, chosen in enumerate(combinations(range(blocks), blocks - most))))
     keyed = distinct.select("h", F.explode(keys).alias("k"))
-    joined = keyed.select("k", F.col("h").alias("a")).join(keyed.select("k", F.col("h").alias("b")), "k").where("a < b")
+    # Spark takes the keys for as few as the hashes and would send them all through the driver: no broadcast
+    joined = keyed.select("k", F.col("h").alias("a")).hint("merge").join(keyed.select("k", F.col("h").alias("b")), "k").where("a < b")
     return joined.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance")).where(F.col("distance") <= most).distinct()
 
 
