@@ -16,3 +16,10 @@ def test_hash_keys_are_never_broadcast(spark):
     pairs = dedup.hamming_pairs(hashes)
     assert "Broadcast" not in plan(pairs)
     assert {(r.a, r.b, r.distance) for r in pairs.collect()} >= {(min(1103515245, 1103515245 ^ 3), max(1103515245, 1103515245 ^ 3), 2)}
+
+
+@pytest.mark.parametrize("split", ["line", "sentence", "block"])
+def test_texts_without_units_stay(spark, split):
+    rows = [(1, "write to a.b@c.org\nnow"), (2, ""), (3, None)]
+    found = pii.process_units(spark.createDataFrame(rows, "doc_id long, text string"), pii.Manager("en", types=("EMAIL_ADDRESS",)), split)
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == [(1, "write to <EMAIL_ADDRESS>\nnow"), (2, ""), (3, None)]
