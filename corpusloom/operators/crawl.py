@@ -14,12 +14,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
+from .dedup import join_hot
 
 
 def seed_join(index: DataFrame, seeds: DataFrame, domain: str = "domain", key: str = "surt") -> DataFrame:
-    """Index rows below a seed: equal registered domain, and the seed's key is a prefix of the row's."""
+    """Index rows below a seed: equal registered domain, and the seed's key is a prefix of the row's.
+
+    Prefixes of each different key, of those lengths that seeds have, are joined by equality, so no row
+    is held against all seeds of its domain. A prefix that many keys have is counted first; the keys
+    below such a seed are dealt over as many tasks as they need.
+    """
     s = seeds.select(F.col(domain).alias("_d"), F.col(key).alias("seed_key"), "seed_id")
-    return index.join(s, (F.col(domain) == F.col("_d")) & F.col(key).startswith(F.col("seed_key"))).drop("_d")
+    sizes = sorted(r[0] for r in s.select(F.length("seed_key").alias("n")).distinct().collect() if r[0] is not None)  # as many as a key has characters
+    if not sizes:
+        return index.join(s, F.lit(False)).drop("_d")
+    keys = index.select(F.col(domain).alias("_d"), F.col(key).alias("_k")).distinct()
+    fits = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("_k"))
+    prefixes = keys.select("_d", "_k", F.explode(F.transform(fits, lambda n: F.substr("_k", F.lit(1), n))).alias("seed_key"))
+    counts = prefixes.groupBy("_d", "seed_key").agg(F.count(F.lit(1)).alias("_n")).hint("merge").join(s.select("_d", "seed_key").distinct(), ["_d", "seed_key"], "left_semi")
+    counts = materialize(counts, "seed-keys")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    part = F.ceil(F.col("_n") / max(1000, total // 2000)).cast("int")
+    below = join_hot(prefixes, counts, ["_d", "seed_key"], "_n", total).withColumn("_part", F.pmod(F.xxhash64("_k"), part).cast("int"))
+    dealt = s.join(counts, ["_d", "seed_key"]).withColumn("_part", F.explode(F.sequence(F.lit(0), part - 1))).drop("_n")
+    pairs = below.select("_d", "_k", "seed_key", "_part").hint("merge").join(dealt, ["_d", "seed_key", "_part"]).drop("_part")
+    return index.join(pairs.hint("merge"), (F.col(domain) == F.col("_d")) & (F.col(key) == F.col("_k"))).drop("_d", "_k")
 
 
 def url_join(index: DataFrame, urls: DataFrame) -> DataFrame:

@@ -35,3 +35,15 @@ def test_pages_of_one_address(spark, tmp_path):
     for name in ("s13_directory_tags", "s14_tagged_corpus"):
         found, wanted = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLES[name])
         assert sorted(tuple(r[c] for c in wanted.columns) for r in found.collect()) == sorted(wanted.fetchall())
+
+
+def test_seed_join_by_equal_prefixes(spark):
+    index = [(k, "d.org" if k % 3 else "e.org", f"org,d)/{k % 7}/{k}") for k in range(300)] + [(300, None, "org,d)/"), (301, "d.org", None), (302, "d.org", "org,d)/1/1")]
+    seeds = [(0, "d.org", "org,d)/1"), (1, "d.org", "org,d)/1"), (2, "d.org", ""), (3, "e.org", "org,d)/2/"), (4, None, "org"), (5, "d.org", None), (6, "f.org", "o")]
+    found = crawl.seed_join(spark.createDataFrame(index, "page_id long, domain string, surt string"), spark.createDataFrame(seeds, "seed_id long, domain string, surt string"))
+    wanted = sorted((p, s) for p, d, k in index for s, e, x in seeds if d is not None and d == e and k is not None and x is not None and k.startswith(x))
+    assert found.columns == ["page_id", "domain", "surt", "seed_key", "seed_id"]
+    assert sorted((r.page_id, r.seed_id) for r in found.collect()) == wanted
+    assert "StartsWith" not in plan(found) and "NestedLoop" not in plan(found)
+    none = crawl.seed_join(spark.createDataFrame(index, "page_id long, domain string, surt string"), spark.createDataFrame([], "seed_id long, domain string, surt string"))
+    assert none.columns == found.columns and none.count() == 0
