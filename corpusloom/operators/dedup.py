@@ -120,6 +120,30 @@ def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return _rebuild(docs, first, id_col, text, keep_empty)
 
 
+def first_of_groups(rows: DataFrame, group: str, id_col: str, order: Column, n: int) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, then by id; ids are unique within a group.
+
+    Only ids are ranked, in rounds: first within parts of a group, then what is left of eight parts
+    together, so no task ranks more than some ``n`` ids at once. Rows themselves stay where they are,
+    unless ids are too many to be broadcast.
+    """
+    total = rows.count()
+    if total <= n:
+        return rows
+    left, parts = rows.select(group, id_col, order.alias("_o"), F.xxhash64(id_col).alias("_p")), -(-total // (20 * n))
+    while True:
+        by = [F.pmod("_p", F.lit(parts))] if parts > 1 else []
+        left = left.withColumn("_r", F.row_number().over(W.partitionBy(group, *by).orderBy("_o", id_col))).where(F.col("_r") <= n).drop("_r")
+        if parts <= 1:
+            break
+        parts = -(-parts // 8)
+    left = materialize(left.select(group, id_col), "first-of-groups")
+    same = rows.select(*rows.columns, F.col(group).alias("_g"), F.col(id_col).alias("_k"))
+    chosen = left.select(F.col(group).alias("_h"), F.col(id_col).alias("_l"))
+    few = left.limit(500_001).count() <= 500_000
+    return same.join(F.broadcast(chosen) if few else chosen, F.col("_g").eqNullSafe(F.col("_h")) & F.col("_k").eqNullSafe(F.col("_l")), "left_semi").select(*rows.columns)
+
+
 def boilerplate_lines(
     docs: DataFrame, group: str, id_col: str = "doc_id", text: str = "text", sample: int = 10_000, share: float = 0.01, least: int = 10, seed: int | None = 42, distinct: bool = True, pages_once: bool = True, bound: str = "greatest"
 ) -> DataFrame:
@@ -129,9 +153,8 @@ def boilerplate_lines(
     operator's own: a hash of the id chooses the pages of each group, or without ``seed`` their order.
     ``distinct`` counts a line once a page; ``pages_once`` counts equal pages once.
     """
-    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col)).cast("binary"))] if seed is not None else []
-    rank = F.row_number().over(W.partitionBy(group).orderBy(*order, id_col))
-    pages = docs.select(group, id_col, text).withColumn("_r", rank).where(F.col("_r") <= sample)
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col)).cast("binary")) if seed is not None else F.lit("")
+    pages = first_of_groups(docs.select(group, id_col, text), group, id_col, order, sample)
     if pages_once:
         pages = pages.groupBy(group, text).agg(F.min(id_col).alias(id_col))
     of = F.transform(F.split(text, "\n"), T.strip)

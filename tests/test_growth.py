@@ -47,3 +47,16 @@ def test_seed_join_by_equal_prefixes(spark):
     assert "StartsWith" not in plan(found) and "NestedLoop" not in plan(found)
     none = crawl.seed_join(spark.createDataFrame(index, "page_id long, domain string, surt string"), spark.createDataFrame([], "seed_id long, domain string, surt string"))
     assert none.columns == found.columns and none.count() == 0
+
+
+@pytest.mark.parametrize("seed", [42, None])
+def test_pages_are_sampled_by_ids_alone(spark, seed):
+    rows = [(k, "a" if k % 5 else "b", f"text {k} " * 3) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id").cast("binary")) if seed else F.lit("")
+    found = dedup.first_of_groups(docs, "source", "doc_id", order, 20)
+    wanted = docs.withColumn("_o", order).collect()
+    for source in "ab":
+        first = sorted((r._o, r.doc_id) for r in wanted if r.source == source)[:20]
+        assert sorted(r.doc_id for r in found.where(F.col("source") == source).collect()) == sorted(k for _, k in first)
+    assert "Window" not in plan(found) and all(r.text == f"text {r.doc_id} " * 3 for r in found.collect())
