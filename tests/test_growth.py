@@ -60,3 +60,26 @@ def test_pages_are_sampled_by_ids_alone(spark, seed):
         first = sorted((r._o, r.doc_id) for r in wanted if r.source == source)[:20]
         assert sorted(r.doc_id for r in found.where(F.col("source") == source).collect()) == sorted(k for _, k in first)
     assert "Window" not in plan(found) and all(r.text == f"text {r.doc_id} " * 3 for r in found.collect())
+
+
+def test_grams_are_counted_in_linear_time(spark):
+    import time
+
+    from corpusloom.operators import language
+
+    long = "añ\U0001f600b\x00c " * 60_000  # by place in the text, each gram cost a walk from its start
+    rows = [("x", long), ("x", "ab"), ("y", "abab"), (None, "abab"), ("y", None)]
+    began = time.time()
+    model = language.train_identifier(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert time.time() - began < 60
+    p = {(r.lang, r.gram): r.logp for r in model}
+    assert {g for lang, g in p if lang == "x"} - {None} == {(long + long)[i : i + 3] for i in range(7)}
+    assert {g for lang, g in p if lang == "y"} == {None, "aba", "bab"} and p["y", "aba"] == p["y", "bab"]
+
+
+def test_mining_finds_languages_once(spark):
+    from corpusloom.plans import pipelines
+
+    docs = spark.createDataFrame([(k, f"the cat of {k} and the dog of {k * 7} is in the house number {k}\n" * 6) for k in range(30)], "doc_id long, text string")
+    found = pipelines.mine(docs, pipelines.Mining(least_chars=10))
+    assert "array_sort" not in plan(found) and found.count() == 30
