@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrow import sliced
 from ..storage import materialize
 from .dedup import join_hot
 
@@ -180,11 +180,7 @@ def html_text(html: Column, least: int = 0) -> Column:
     become line ends. A row that fails says so and doesn't stop the others.
     """
 
-    @F.pandas_udf(PAGE)
-    def of(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_text(x, least) for x in column], columns=["text", "title", "spans", "error", "error_comment"])
-
-    return of(html)
+    return sliced(PAGE, lambda column: [_text(x, least) for x in column])(html)
 
 
 def characters_by_language(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -291,11 +287,7 @@ def warc_html(data: Column, mime: Column) -> Column:
     The character set is that of the HTTP head, else of the page, else UTF-8; bytes that aren't in it are replaced.
     """
 
-    @F.pandas_udf("html string, html_error string")
-    def of(column: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_html(None if x is None else bytes(x), k) for x, k in zip(column, kinds)], columns=["html", "html_error"])
-
-    return of(data, mime)
+    return sliced("html string, html_error string", lambda column, kinds: [_html(x, k) for x, k in zip(column, kinds)])(data, mime)
 
 
 def preprocess_pages(rows: DataFrame, data: str = "compressed_warc", mime: str = "content_mime_detected", url: str = "url", domain: str = "domain") -> DataFrame:

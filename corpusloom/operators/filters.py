@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrow import sliced
 from .profile import percentiles
 from .wordlists import FLAGGED, STOPWORDS
 
@@ -115,20 +115,14 @@ def _word_repetition(words: Sequence[str], n: int) -> float:
 def character_repetition(c: Column, size: int | Column = 10) -> Column:
     """Share of the most frequent character n-grams, at most the root of their number, among all."""
 
-    @F.pandas_udf("double")
-    def ratio(text: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_character_repetition(t or "", int(k)) for t, k in zip(text, n)])
-
+    ratio = sliced("double", lambda text, n: [_character_repetition(t or "", int(k)) for t, k in zip(text, n)])
     return ratio(c, size if isinstance(size, Column) else F.lit(size))
 
 
 def word_repetition(c: Column, size: int | Column = 5) -> Column:
     """Share of the places of word n-grams that occur more than once."""
 
-    @F.pandas_udf("double")
-    def ratio(text: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_word_repetition(_words(t or ""), int(k)) for t, k in zip(text, n)])
-
+    ratio = sliced("double", lambda text, n: [_word_repetition(_words(t or ""), int(k)) for t, k in zip(text, n)])
     return ratio(F.lower(c), size if isinstance(size, Column) else F.lit(size))
 
 
@@ -165,15 +159,15 @@ def metrics(docs: DataFrame, text: str = "text", lang: str = "lang", stopwords:
     c, code = F.coalesce(F.col(text), F.lit("")), F.col(lang)
     lists = [{k: frozenset(v.split() if isinstance(v, str) else v) for k, v in x.items()} for x in (stopwords, flagged)]
 
-    @F.pandas_udf(_METRICS)
-    def of(texts: pd.Series, langs: pd.Series, chars: pd.Series, words: pd.Series) -> pd.DataFrame:
+    def rows(texts: list, langs: list, chars: list, words: list) -> list[tuple]:
         out = []
-        for t, low, k, n_chars, n_words in zip(texts, texts.str.lower(), langs, chars, words):
-            w = _words(low)
+        for t, k, n_chars, n_words in zip(texts, langs, chars, words):
+            w = _words(t.lower())
             shares = [(min(1.0, sum(x in known[k] for x in w) / len(w)) if w else 0.0) if k in known else None for known in lists]
             out.append((len(_words(t)), _character_repetition(t, int(n_chars)), _word_repetition(w, int(n_words)), *shares))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _METRICS.split(", ")]).astype({"stop_ratio": "float64", "flagged_ratio": "float64"})
+        return out
 
+    of = sliced(_METRICS, rows)
     measured = docs.withColumn("_m", of(c, code, by_language(code, "char_size"), by_language(code, "word_size")))
     return measured.select(*docs.columns, "_m.number_words", "_m.character_repetition", "_m.word_repetition", special_ratio(c).alias("special_ratio"), "_m.stop_ratio", "_m.flagged_ratio")
 
@@ -187,14 +181,14 @@ def threshold_metrics(docs: DataFrame, text: str = "text", lang: str = "lang", c
     c = F.coalesce(F.col(text), F.lit(""))
     kind = "character_repetitions map<int,double>, word_repetitions map<int,double>"
 
-    @F.pandas_udf(kind)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, low in zip(texts, texts.str.lower()):
-            w = _words(low)
-            rows.append(({n: round(_character_repetition(t, n), 4) for n in char_sizes}, {n: round(_word_repetition(w, n), 4) for n in word_sizes}))
-        return pd.DataFrame(rows, columns=["character_repetitions", "word_repetitions"])
+    def rows(texts: list) -> list[tuple]:
+        out = []
+        for t in texts:
+            w = _words(t.lower())
+            out.append(([(n, round(_character_repetition(t, n), 4)) for n in char_sizes], [(n, round(_word_repetition(w, n), 4)) for n in word_sizes]))
+        return out
 
+    of = sliced(kind, rows)
     bad = lambda w: F.array_max(F.array(*(F.contains(w, F.lit(x)) for x in T.BAD_SUBSTRINGS)))
     words = F.transform(T.words(c, strip_chars=_ASCII_SPECIAL), lambda w: F.struct(w.alias("word"), F.length(w).alias("length"), bad(w).alias("bad")))
     m = metrics(docs, text, lang).withColumn("_r", of(c)).withColumn("words", words)

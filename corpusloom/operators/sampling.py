@@ -6,11 +6,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import sliced
 from ..storage import materialize
 from .numbering import number_rows
 from .profile import percentiles
@@ -145,8 +145,7 @@ def pack_sequences(df: DataFrame, id_col: str, tokens: Column, length: int, batc
 def mask_tokens(ids: Column, row: Column, mask_id: int, vocabulary: int, special: tuple[int, ...] = (), chance: float = 0.15, seed: int = 0) -> Column:
     """Masked-language-model inputs: of chosen tokens 80 % are masked, 10 % random; labels -100 elsewhere."""
 
-    @F.pandas_udf("ids array<int>, labels array<int>")
-    def of(tokens: pd.Series, key: pd.Series) -> pd.DataFrame:
+    def both(tokens: list, key: list) -> list[tuple]:
         out = []
         for t, k in zip(tokens, key):
             rng = np.random.default_rng([seed, int(k)])
@@ -155,6 +154,6 @@ def mask_tokens(ids: Column, row: Column, mask_id: int, vocabulary: int, special
             how = rng.random(len(t))
             new = np.where(pick & (how < 0.8), mask_id, np.where(pick & (how >= 0.9), rng.integers(0, vocabulary, len(t)), t))
             out.append((new.tolist(), np.where(pick, t, -100).tolist()))
-        return pd.DataFrame(out, columns=["ids", "labels"])
+        return out
 
-    return of(ids, row)
+    return sliced("ids array<int>, labels array<int>", both)(ids, row)

@@ -99,3 +99,21 @@ def test_places_are_moved_as_hashes(spark):
     model = language.train_trigrams(docs)
     own = language.trigram_logp(docs, model, ["doc_id"])
     assert plan(own).count("MapInArrow") == 1 and {r.doc_id: r.places for r in own.collect()} == {1: 4, 5: 2}
+
+
+def test_few_rows_are_objects_at_once(spark):
+    from corpusloom.functions.arrow import sliced
+
+    docs = spark.range(1000).coalesce(1).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('t', id) END AS t")
+    seen = sliced("n int, t array<string>", lambda ids, t: [None if x is None else (len(ids), [x]) for x in t], 300)
+    rows = docs.select("id", seen("id", "t").alias("s")).collect()
+    assert {r.s.n for r in rows if r.s} == {300, 100} and all((r.s is None) == (r.id % 7 == 0) and (r.s is None or r.s.t == [f"t{r.id}"]) for r in rows)
+
+
+def test_windows_are_no_objects(spark):
+    import random
+
+    text = "".join(random.Random(5).choices("abcdefghijklmnop", k=400))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 30 + text[100:200] + "y" * 30), (3, "none of it"), (4, None)], "doc_id long, text string")
+    found = dedup.repeated_windows(docs)
+    assert {(r.doc_id, r.begin, r.end) for r in found.collect()} == {(1, 100, 200), (2, 30, 130)}
